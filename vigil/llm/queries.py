@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, exact_dedup, token_counts
+from vigil.llm import bpe, exact_dedup, pii, secrets, token_counts, toxicity
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
