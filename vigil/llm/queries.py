@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, exact_dedup, pii, secrets, token_counts, toxicity
+from vigil.llm import bpe, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_pii": pii.op10_pii,
 }
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {"op4_substring_dedup": substring_dedup.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
