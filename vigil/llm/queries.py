@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_pii": pii.op10_pii,
 }
