@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, decontaminate, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity, training_order
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_training_order": training_order.op5_training_order,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
