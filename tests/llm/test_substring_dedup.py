@@ -12,7 +12,7 @@ from vigil.llm import substring_dedup as sd
 def brute(rows, size):
     seen = {}
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
-    place = [sd._LAST if i is None else i for i, _ in rows]
+    place = [sd.LAST if i is None else i for i, _ in rows]
     for p, ws in zip(place, split, strict=True):
         for k in range(len(ws) - size + 1):
             key = tuple(ws[k : k + size])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE_CLASS, materialize, table, whole_text
+from vigil.llm.common import SPACE_CLASS, free_name, materialize, table, whole_text
 
 SIZE, LITERAL, RUN, BROADCAST = 8, 5, 3, 200_000
 #: One private-use character each.
@@ -92,8 +92,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates, with the columns of docs."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(whole_text()) == F.col("_bad_th")), "left_anti")
+    bad_id, bad_th = free_name(docs, "bad_id"), free_name(docs, "bad_th")
+    bad = materialize(matches(docs, benchmark).select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(whole_text()) == F.col(bad_th)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

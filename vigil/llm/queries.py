@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, decontaminate, exact_dedup, pii, secrets, substring_dedup, token_counts, toxicity, training_order
+from vigil.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, secrets, substring_dedup, token_counts, toxicity, training_order
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,

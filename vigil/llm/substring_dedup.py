@@ -33,7 +33,8 @@ from vigil.llm.common import chunks, materialize, table, text_buffers, whole_tex
 from vigil.llm.wordhash import boundaries, hash_runs, hash_words, run_starts
 
 SIZE, ANCHOR, ROWS, WIDTH = 50, 16, 2, 1 << 40
-_LAST = (1 << 63) - 1
+#: The place of a null doc_id.
+LAST = (1 << 63) - 1
 
 
 def anchors(words: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -54,7 +55,7 @@ def anchors(words: np.ndarray, size: int = SIZE) -> np.ndarray:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, the document's place in the order, a hash of the text that tells rows of one doc_id apart, and the text."""
     text = whole_text()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("place"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def profile(docs: DataFrame, size: int = SIZE) -> DataFrame:
