@@ -171,7 +171,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
                 (ones if toxic else zeros).update(set(_WORD.findall(fold(text))))
                 if len(ones) + len(zeros) > 400_000:
                     yield out()
-        yield out()
+        if ones or zeros:
+            yield out()
 
     return train.mapInPandas(run, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
@@ -184,8 +185,8 @@ def _phrase_counts(train: DataFrame, weights: dict[str, float]) -> DataFrame:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 text = fold(text)
                 (ones if toxic else zeros).update({p for s, e, _ in hits(text, automaton) for p in neighbours(text, s, e)})
-        both = list(ones.keys() | zeros.keys())
-        yield pd.DataFrame({"first": [p[0] for p in both], "second": [p[1] for p in both], "n1": [ones[p] for p in both], "n0": [zeros[p] for p in both]})
+        if both := list(ones.keys() | zeros.keys()):
+            yield pd.DataFrame({"first": [p[0] for p in both], "second": [p[1] for p in both], "n1": [ones[p] for p in both], "n0": [zeros[p] for p in both]})
 
     found = train.mapInPandas(run, "first string, second string, n1 long, n0 long")
     return found.groupBy("first", "second").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -245,6 +246,8 @@ def _features_of(lexicon: Lexicon):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for frame in frames:
+            if not len(frame):
+                continue
             values = [features(fold(t), automaton, lexicon.exceptions)[0] for t in frame["text"]]
             yield pd.DataFrame(values, columns=["a", "b", "c"]).assign(toxic=frame["toxic"].to_numpy())
 
