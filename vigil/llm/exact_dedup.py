@@ -22,7 +22,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.llm.common import SPACE_CLASS, materialize, new_dir, whole_text
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without room set aside in advance, of which each of many small stores would take megabytes.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -63,13 +67,14 @@ def start_stream(stream: DataFrame, out: str, checkpoint: str, **trigger) -> Str
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         return keep_state(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_table(spark: SparkSession, out: str) -> DataFrame:
