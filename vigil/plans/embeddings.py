@@ -32,10 +32,10 @@ def cosine_to_centroid(spark, d):
     return both.groupBy("label").agg(F.round(F.avg(dist), 6).alias("distance"))
 
 
-@query("SELECT * FROM (WITH " + CENTRES + ", dd AS (SELECT vec_id, cen.label AS k, sum((v - m) * (v - m)) AS d FROM x JOIN cen USING (i) WHERE vec_id % 5 = 0 GROUP BY ALL) SELECT vec_id, arg_min(k, {'d': d, 'k': k}) AS assigned, round(sqrt(min(d)), 6) AS distance FROM dd GROUP BY ALL)")
+@query("SELECT * FROM (WITH " + CENTRES + ", dd AS (SELECT vec_id, cen.label AS k, sum((v - m) * (v - m)) AS d FROM x JOIN cen USING (i) GROUP BY ALL) SELECT vec_id, arg_min(k, {'d': d, 'k': k}) AS assigned, round(sqrt(min(d)), 6) AS distance FROM dd GROUP BY ALL)")
 def nearest_centroid(spark, d):
     rows = _emb(spark, d)
-    return V.nearest(rows.where("vec_id % 5 = 0"), V.centroids(rows, "label", "embedding"), "label", "embedding").select("vec_id", "assigned", F.round("distance", 6).alias("distance"))
+    return V.nearest(rows, V.centroids(rows, "label", "embedding"), "label", "embedding").select("vec_id", "assigned", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {CENTRES} SELECT label, round(sum((v - m) * (v - m)), 5) AS inertia FROM x JOIN cen USING (label, i) GROUP BY ALL")
@@ -46,13 +46,14 @@ def inertia(spark, d):
 
 
 def _pairs(spark, d):
-    """Pairs of a sample of 200 rows, as the pair sampler draws them: its size is the sampler's, not the table's."""
-    rows = _emb(spark, d).where("vec_id < 200").select("vec_id", "label", "embedding")
-    other = rows.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label"), F.col("embedding").alias("e"))
+    """Each row whose id is divisible by 20, against all rows."""
+    every = _emb(spark, d).select("vec_id", "label", "embedding")
+    rows = every.where("vec_id % 20 = 0")
+    other = every.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label"), F.col("embedding").alias("e"))
     return rows.join(other, F.col("vec_id") != F.col("other")).withColumn("d", V.cosine_distance(F.col("embedding"), F.col("e")))
 
 
-PAIRS = """p AS (SELECT a.vec_id, b.vec_id AS other, a.label, b.label AS other_label, 1 - greatest(-1, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200)"""
+PAIRS = """p AS (SELECT a.vec_id, b.vec_id AS other, a.label, b.label AS other_label, 1 - greatest(-1, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS n FROM p WHERE label <> other_label) SELECT vec_id, other, round(d, 6) AS d FROM r WHERE n <= 3")
@@ -74,10 +75,10 @@ def contrastive_loss(spark, d):
     return _pairs(spark, d).agg(F.round(F.avg(F.when(F.col("label") == F.col("other_label"), F.col("d") * F.col("d")).otherwise(hinge * hinge)), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT round(greatest(median(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))), 1e-8), 6) AS sigma FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100")
+@query("SELECT round(greatest(median(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))), 1e-8), 6) AS sigma FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500")
 def pairwise_sigma_median(spark, d):
-    """The kernel width over the reference window of 100 rows."""
-    rows = _emb(spark, d).where("vec_id < 100").select("vec_id", "embedding")
+    """The kernel width over a reference window, which has 500 rows at most."""
+    rows = _emb(spark, d).where("vec_id < 500").select("vec_id", "embedding")
     other = rows.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
     return rows.join(other, F.col("vec_id") < F.col("other")).agg(F.round(F.greatest(F.median(F.sqrt(V.squared_distance(F.col("embedding"), F.col("e")))), F.lit(1e-8)), 6).alias("sigma"))
 
@@ -99,9 +100,9 @@ def _phi(spark, d):
     return _emb(spark, d).withColumn("phi", V.fourier(F.slice("embedding", 1, 4), WEIGHTS, SHIFTS))
 
 
-@query(f"WITH f AS (SELECT vec_id, unnest(range(0, 8))::INT AS i, unnest([{_PHI}]) AS x FROM embeddings WHERE vec_id < 300) SELECT vec_id, i, round(x, 6) + 0.0 AS x FROM f")
+@query(f"WITH f AS (SELECT vec_id, unnest(range(0, 8))::INT AS i, unnest([{_PHI}]) AS x FROM embeddings) SELECT vec_id, i, round(x, 6) + 0.0 AS x FROM f")
 def rff_features(spark, d):
-    return _phi(spark, d).where("vec_id < 300").select("vec_id", F.posexplode("phi").alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
+    return _phi(spark, d).select("vec_id", F.posexplode("phi").alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query(f"WITH f AS (SELECT label, unnest(range(0, 8)) AS i, unnest([{_PHI}]) AS x FROM embeddings), m AS (SELECT i, avg(x) FILTER (WHERE label = 0) AS p, avg(x) FILTER (WHERE label <> 0) AS q FROM f GROUP BY ALL) SELECT round(sum((p - q) * (p - q)), 8) AS mmd2 FROM m")
@@ -128,8 +129,8 @@ def openmax_proba(spark, d):
 
 @query()
 def agglomerative_k(spark, d):
-    """Average-linkage clusters for each k with silhouettes, on the reference's size of sample (240 rows)."""
-    rows = _emb(spark, d).where("vec_id < 240").select("vec_id", "embedding").withColumn("g", F.lit(1))
+    """Average-linkage clusters for each k with silhouettes, on a sample of at most 400 rows (those with the smallest hashes): the sample is the operator's bound."""
+    rows = _emb(spark, d).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).withColumn("g", F.lit(1))
     return rows.groupBy("g").applyInPandas(lambda pdf: M.cluster_table(np.stack(pdf.sort_values("vec_id")["embedding"].to_list()), range(2, 13)), "k int, silhouette double, gap double, gap_se double, chosen boolean")
 
 

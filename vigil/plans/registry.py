@@ -22,6 +22,3 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return add
-
-
-from vigil.plans import embeddings, graph, knowledge, mining, sequence, signal, streams, telemetry  # noqa: E402, F401

@@ -17,11 +17,11 @@ def ffill_bfill(spark, d):
     return signal(spark, d).withColumn("value", S.filled())
 
 
-@query(f"""WITH {SIGNAL}, e AS (SELECT episode_id, service, median(value) AS e FROM signal GROUP BY ALL), g AS (SELECT episode_id % 10 AS scenario, service, median(value) AS g FROM signal WHERE episode_id % 5 <> 0 GROUP BY ALL), s AS (SELECT service, median(value) AS s FROM signal WHERE episode_id % 5 <> 0 GROUP BY ALL)
+@query(f"""WITH {SIGNAL}, e AS (SELECT episode_id, service, median(value) AS e FROM signal GROUP BY ALL), g AS (SELECT episode_id % 10 AS scenario, service, median(value) AS g FROM signal WHERE t < 20 GROUP BY ALL), s AS (SELECT service, median(value) AS s FROM signal WHERE t < 20 GROUP BY ALL)
 SELECT x.episode_id, t, x.service, round(coalesce(value, e, g, s, 0), 6) AS value FROM signal x LEFT JOIN e USING (episode_id, service) LEFT JOIN g ON g.scenario = x.episode_id % 10 AND g.service = x.service LEFT JOIN s ON s.service = x.service""")
 def impute_cascade(spark, d):
     rows = signal(spark, d).withColumn("scenario", F.col("episode_id") % 10)
-    return S.cascade(rows, F.col("episode_id") % 5 != 0, "scenario").select("episode_id", "t", "service", F.round("value", 6).alias("value"))
+    return S.cascade(rows, F.col("t") < 20, "scenario").select("episode_id", "t", "service", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {SIGNAL}, {FILL} SELECT s.episode_id, s.t, s.service, CASE WHEN s.service IN ('view', 'click') THEN coalesce(f.value, 0) ELSE coalesce(s.value, 0) END AS value FROM signal s JOIN filled f USING (episode_id, t, service)")
@@ -31,18 +31,18 @@ def impute_v5(spark, d):
     return signal(spark, d).withColumn("_f", S.filled()).select("episode_id", "t", "service", F.coalesce(F.when(gauge, F.col("_f")).otherwise(F.col("value")), F.lit(0.0)).alias("value"))
 
 
-SCALER = "scaler AS (SELECT service, coalesce(avg(value), 0) AS mean, CASE WHEN count(value) < 2 OR stddev_pop(value) <= 1e-12 THEN 1 ELSE stddev_pop(value) END AS scale, count(value) AS n FROM signal WHERE episode_id % 5 <> 0 GROUP BY ALL)"
+SCALER = "scaler AS (SELECT service, coalesce(avg(value), 0) AS mean, CASE WHEN count(value) < 2 OR stddev_pop(value) <= 1e-12 THEN 1 ELSE stddev_pop(value) END AS scale, count(value) AS n FROM signal WHERE t < 20 GROUP BY ALL)"
 
 
 @query(f"WITH {SIGNAL}, {SCALER} SELECT service, round(mean, 6) AS mean, round(scale, 6) AS scale, n FROM scaler")
 def scaler_fit(spark, d):
-    return rounded(S.scaler(signal(spark, d).where("episode_id % 5 <> 0"), ["service"]), "mean", "scale")
+    return rounded(S.scaler(signal(spark, d).where("t < 20"), ["service"]), "mean", "scale")
 
 
 @query(f"WITH {SIGNAL}, {SCALER} SELECT episode_id, t, service, round((coalesce(value, mean) - mean) / scale, 6) AS value FROM signal JOIN scaler USING (service)")
 def scaler_transform(spark, d):
     rows = signal(spark, d)
-    return S.scaled(rows, S.scaler(rows.where("episode_id % 5 <> 0"), ["service"]), ["service"]).select("episode_id", "t", "service", F.round("value", 6).alias("value"))
+    return S.scaled(rows, S.scaler(rows.where("t < 20"), ["service"]), ["service"]).select("episode_id", "t", "service", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {SIGNAL}, f AS (SELECT episode_id, service, avg(value) AS m, stddev_pop(value) AS s, count(DISTINCT t) AS n FROM signal WHERE t < 15 GROUP BY ALL)
@@ -81,14 +81,15 @@ def causal_conv(spark, d):
     return signal(spark, d).withColumn("value", F.round(S.causal_conv(F.col("value"), [0.5, 0.3, 0.2], 2, order), 6))
 
 
-@query(f"""WITH {SIGNAL}, x AS (SELECT episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE episode_id < 20 AND t < 10), y AS (SELECT episode_id - 20 AS episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE episode_id BETWEEN 20 AND 39 AND t >= 20),
+@query(f"""WITH {SIGNAL}, x AS (SELECT episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE t < 10), y AS (SELECT episode_id - 1 AS episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE t >= 20 AND episode_id - 1 IN (SELECT episode_id FROM signal)),
 e AS (SELECT episode_id, service, max(t) AS t, arg_max(value, t) AS a FROM x GROUP BY ALL), b AS (SELECT episode_id, service, min(t) AS f, arg_min(value, t) AS b FROM y GROUP BY ALL)
-SELECT episode_id, service, t, round(value, 6) AS value, 'a' AS part FROM x UNION ALL SELECT episode_id, service, (e.t + i)::INT, round(a + (b - a) * i / 4, 6), 'bridge' FROM e JOIN b USING (episode_id, service), range(1, 4) g(i)
+SELECT episode_id, service, t, round(value, 6) AS value, 'a' AS part FROM x WHERE episode_id IN (SELECT episode_id FROM y) UNION ALL SELECT episode_id, service, (e.t + i)::INT, round(a + (b - a) * i / 4, 6), 'bridge' FROM e JOIN b USING (episode_id, service), range(1, 4) g(i)
 UNION ALL SELECT y.episode_id, y.service, y.t - f + e.t + 4, round(value, 6), 'b' FROM y JOIN e USING (episode_id, service) JOIN b USING (episode_id, service)""")
 def cascade_bridge(spark, d):
     rows = signal(spark, d).select("episode_id", "service", "t", F.coalesce("value", F.lit(0.0)).alias("value"))
-    left = rows.where("episode_id < 20 AND t < 10")
-    right = rows.where("episode_id BETWEEN 20 AND 39 AND t >= 20").withColumn("episode_id", F.col("episode_id") - 20)
+    episodes = rows.select("episode_id").distinct()
+    right = rows.where("t >= 20").withColumn("episode_id", F.col("episode_id") - 1).join(episodes, "episode_id", "left_semi").select(*rows.columns)
+    left = rows.where("t < 10").join(right.select("episode_id").distinct(), "episode_id", "left_semi").select(*rows.columns)
     return rounded(S.bridge(left, right, 3, ["episode_id", "service"]), "value")
 
 
@@ -100,14 +101,14 @@ def _envelope(rows):
 
 
 @query(f"""WITH {SIGNAL}, {ENVELOPE}, m AS (SELECT episode_id, service, avg(value) AS mu FROM signal WHERE t < 15 GROUP BY ALL),
-o AS (SELECT a.episode_id, a.t, a.service, a.value + 0.5 * (coalesce(b.value, mu) - mu) AS value FROM signal a JOIN signal b ON b.episode_id = a.episode_id + 10 AND b.t = a.t AND b.service = a.service JOIN m ON m.episode_id = b.episode_id AND m.service = b.service WHERE a.episode_id < 10)
+o AS (SELECT a.episode_id, a.t, a.service, a.value + 0.5 * (coalesce(b.value, mu) - mu) AS value FROM signal a JOIN signal b ON b.episode_id = a.episode_id + 10 AND b.t = a.t AND b.service = a.service JOIN m ON m.episode_id = b.episode_id AND m.service = b.service)
 SELECT episode_id, t, service, round(greatest(least(value, p99), p01), 6) AS value, coalesce(value > p99 OR value < p01, false) AS clipped FROM o JOIN env USING (service) WHERE value IS NOT NULL""")
 def overlay_residual(spark, d):
     """An episode plus half of another's departure from its normal mean, inside the envelope."""
     rows = signal(spark, d)
     other = rows.select((F.col("episode_id") - 10).alias("episode_id"), "t", "service", F.col("value").alias("b"))
     mean = rows.where("t < 15").groupBy((F.col("episode_id") - 10).alias("episode_id"), "service").agg(F.avg("value").alias("mu"))
-    out = rows.where("episode_id < 10").join(other, ["episode_id", "t", "service"]).join(mean, ["episode_id", "service"])
+    out = rows.join(other, ["episode_id", "t", "service"]).join(mean, ["episode_id", "service"])
     out = out.withColumn("value", F.col("value") + 0.5 * (F.coalesce("b", "mu") - F.col("mu"))).where("value IS NOT NULL")
     return S.clip(out, _envelope(rows), ["service"]).select("episode_id", "t", "service", F.round("value", 6).alias("value"), "clipped")
 

@@ -11,22 +11,22 @@ T0 = 1704067200.0
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT service, bin FROM (SELECT DISTINCT service FROM samples), range(0, 30) r(bin)), m AS (SELECT service, floor((ts - {T0}) / 86400)::BIGINT AS bin, max(value) AS m FROM samples WHERE event_type = 'purchase' GROUP BY ALL),
-l AS (SELECT service, floor((ts - {T0}) / 86400)::BIGINT AS bin, avg(is_error::INT) AS l FROM samples WHERE pod % 3 = 0 GROUP BY ALL)
+l AS (SELECT service, floor((ts - {T0}) / 86400)::BIGINT AS bin, avg(is_error::INT) AS l FROM samples WHERE event_type <> 'view' GROUP BY ALL)
 SELECT g.service, g.bin::BIGINT AS bin, m, round(l, 6) AS l FROM g LEFT JOIN m USING (service, bin) LEFT JOIN l USING (service, bin)""")
 def signal_snapshot_join(spark, d):
     """Modalities aligned on the grid of services and days; what is absent stays missing."""
     rows = samples(spark, d).withColumn("bin", F.floor((F.col("ts") - T0) / 86400))
     grid = rows.select("service").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
     m = rows.where("event_type = 'purchase'").groupBy("service", "bin").agg(F.max("value").alias("m"))
-    logs = rows.where("pod % 3 = 0").groupBy("service", "bin").agg(F.round(F.avg(F.col("is_error").cast("int")), 6).alias("l"))
+    logs = rows.where("event_type <> 'view'").groupBy("service", "bin").agg(F.round(F.avg(F.col("is_error").cast("int")), 6).alias("l"))
     return grid.join(m, ["service", "bin"], "left").join(logs, ["service", "bin"], "left")
 
 
-@query(f"""WITH {SAMPLES}, a AS (SELECT pod, avg(value) AS x FROM samples WHERE event_type = 'error' AND pod % 2 = 0 GROUP BY ALL), b AS (SELECT pod, avg(value) AS y FROM samples WHERE event_type <> 'error' GROUP BY ALL)
+@query(f"""WITH {SAMPLES}, a AS (SELECT pod, avg(value) AS x FROM samples WHERE event_type = 'error' AND value > 95 GROUP BY ALL), b AS (SELECT pod, avg(value) AS y FROM samples WHERE event_type <> 'error' GROUP BY ALL)
 SELECT pod, round(coalesce(x, y), 6) AS value, x IS NULL AS filled FROM b LEFT JOIN a USING (pod)""")
 def signal_fallback_fill(spark, d):
     rows = samples(spark, d)
-    a = rows.where("event_type = 'error' AND pod % 2 = 0").groupBy("pod").agg(F.avg("value").alias("x"))
+    a = rows.where("event_type = 'error' AND value > 95").groupBy("pod").agg(F.avg("value").alias("x"))
     b = rows.where("event_type <> 'error'").groupBy("pod").agg(F.avg("value").alias("y"))
     return b.join(a, "pod", "left").select("pod", F.round(F.coalesce("x", "y"), 6).alias("value"), F.col("x").isNull().alias("filled"))
 
@@ -64,11 +64,11 @@ def scenario_quality_rollup(spark, d):
     return rows.rollup("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("nan_ratio") <= 0.7).cast("int")).alias("kept"), F.round(F.avg("nan_ratio"), 6).alias("nan_mean"), F.round(F.max("nan_ratio"), 6).alias("nan_max"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER () AS n FROM orders WHERE o_orderpriority LIKE '1%')
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, CASE WHEN r <= round_even(n * 0.7, 0) THEN 'train' WHEN r <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM o""")
 def temporal_split(spark, d):
     """Ranks over all rows come from day counts summed up, not from one sorted partition."""
-    rows = table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
+    rows = table(spark, d, "orders")
     return _ranked(rows).select("o_orderkey", S.temporal_split(F.col("n"), F.col("r"), 0.7, 0.15).alias("split"))
 
 
@@ -82,10 +82,10 @@ def _ranked(rows):
     return rows.join(F.broadcast(days), "o_orderdate").withColumn("r", F.col("before") + inside)
 
 
-STRATA = """s AS (SELECT *, least(2, greatest(0, n - 1)) AS mt FROM (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS r, count(*) OVER (PARTITION BY o_custkey)::INT AS n FROM orders)),
+STRATA = """s AS (SELECT *, least(2, greatest(0, n - 1)) AS mt FROM (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus = 'P' AS held, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS r, count(*) OVER (PARTITION BY o_custkey)::INT AS n FROM orders)),
 s1 AS (SELECT *, least(1, greatest(0, n - 1 - mt)) AS mv, greatest(1, round_even(n * 0.7, 0)::INT) AS a FROM s), s2 AS (SELECT *, greatest(mv, round_even(n * 0.15, 0)::INT) AS b FROM s1),
 s3 AS (SELECT *, CASE WHEN n - a - b < mt THEN greatest(1, a - (mt - (n - a - b))) ELSE a END AS a2 FROM s2), s4 AS (SELECT *, CASE WHEN n - a2 - b < mt THEN greatest(0, n - a2 - mt) ELSE b END AS b2 FROM s3),
-strata AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN r <= a2 THEN 'train' WHEN r <= a2 + b2 THEN 'val' ELSE 'test' END AS split FROM s4)"""
+strata AS (SELECT o_orderkey, o_custkey, o_orderdate, held, CASE WHEN r <= a2 THEN 'train' WHEN r <= a2 + b2 THEN 'val' ELSE 'test' END AS split FROM s4)"""
 
 
 def _strata(spark, d):
@@ -101,16 +101,16 @@ def stratified_temporal_split(spark, d):
     return _strata(spark, d).select("o_orderkey", "split")
 
 
-@query(f"WITH {STRATA} SELECT o_orderkey, CASE WHEN o_custkey % 13 = 0 AND split IN ('train', 'val') THEN 'test' ELSE split END AS split FROM strata")
+@query(f"WITH {STRATA} SELECT o_orderkey, CASE WHEN held AND split IN ('train', 'val') THEN 'test' ELSE split END AS split FROM strata")
 def heldout_enforce(spark, d):
-    moved = (F.col("o_custkey") % 13 == 0) & F.col("split").isin("train", "val")
+    moved = (F.col("o_orderstatus") == "P") & F.col("split").isin("train", "val")
     return _strata(spark, d).select("o_orderkey", F.when(moved, "test").otherwise(F.col("split")).alias("split"))
 
 
-@query(f"WITH {STRATA} SELECT split, count(*) AS leaks FROM strata WHERE o_custkey % 13 = 0 AND split IN ('train', 'val') GROUP BY ALL")
+@query(f"WITH {STRATA} SELECT split, count(*) AS leaks FROM strata WHERE held AND split IN ('train', 'val') GROUP BY ALL")
 def heldout_leak_check(spark, d):
-    held = table(spark, d, "customer").where("c_custkey % 13 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    return _strata(spark, d).join(held, "o_custkey", "left_semi").where(F.col("split").isin("train", "val")).groupBy("split").agg(F.count(F.lit(1)).alias("leaks"))
+    held = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    return _strata(spark, d).join(held, "o_orderkey", "left_semi").where(F.col("split").isin("train", "val")).groupBy("split").agg(F.count(F.lit(1)).alias("leaks"))
 
 
 @query(f"""WITH {STRATA}, b AS (SELECT o_custkey, max(o_orderdate) FILTER (WHERE split = 'train') AS x, min(o_orderdate) FILTER (WHERE split = 'val') AS y, max(o_orderdate) FILTER (WHERE split = 'val') AS z, min(o_orderdate) FILTER (WHERE split = 'test') AS w FROM strata GROUP BY ALL)

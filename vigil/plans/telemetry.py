@@ -76,10 +76,10 @@ def counter_rate_bins(spark, d):
     return bins.groupBy("service", "bin").agg(F.round(F.sum(F.greatest(F.col("delta"), F.lit(0.0)) / 86400), 6).alias("rate"))
 
 
-@query(f"""WITH {SAMPLES}, s AS (SELECT service, pod, ts, max(value) AS value FROM samples WHERE pod % 10 = 3 GROUP BY ALL), g AS (SELECT k, {T0} + k * 21600.0 AS t FROM range(0, 120) g(k)), r AS (SELECT DISTINCT service, pod FROM s)
+@query(f"""WITH {SAMPLES}, s AS (SELECT service, pod, ts, max(value) AS value FROM samples GROUP BY ALL), g AS (SELECT k, {T0} + k * 21600.0 AS t FROM range(0, 120) g(k)), r AS (SELECT DISTINCT service, pod FROM s)
 SELECT r.service, r.pod, k AS tick, (SELECT arg_min(value, {{'d': abs(s.ts - g.t), 't': s.ts}}) FROM s WHERE s.pod = r.pod AND s.service = r.service) AS value FROM r, g""")
 def nearest_sample_grid(spark, d):
-    rows = samples(spark, d).where("pod % 10 = 3").groupBy("service", "pod", "ts").agg(F.max("value").alias("value"))
+    rows = samples(spark, d).groupBy("service", "pod", "ts").agg(F.max("value").alias("value"))
     return nearest(rows, ["service", "pod"], "ts", "value", T0, 21600.0, 120)
 
 
@@ -191,11 +191,11 @@ def promql_increase(spark, d):
     return rows.groupBy("service", "bin").agg(F.round(F.sum(step), 4).alias("increase"))
 
 
-@query(f"""WITH {SAMPLES}, p AS (SELECT * FROM samples WHERE event_type IN ('error', 'view')), have AS (SELECT DISTINCT service FROM p WHERE event_type = 'error' AND pod % 2 = 0)
-SELECT service, event_type AS source, count(*) AS n FROM p WHERE (event_type = 'error' AND pod % 2 = 0) OR (event_type = 'view' AND service NOT IN (SELECT service FROM have)) GROUP BY ALL""")
+@query(f"""WITH {SAMPLES}, p AS (SELECT * FROM samples WHERE event_type IN ('error', 'view')), have AS (SELECT DISTINCT pod FROM p WHERE event_type = 'error' AND value > 95)
+SELECT service, event_type AS source, count(*) AS n FROM p WHERE (event_type = 'error' AND value > 95) OR (event_type = 'view' AND pod NOT IN (SELECT pod FROM have)) GROUP BY ALL""")
 def primary_or_fallback(spark, d):
     """Rows of the first query, and those of its fallback for series that the first does not have."""
     rows = samples(spark, d)
-    first = rows.where("event_type = 'error' AND pod % 2 = 0")
-    other = rows.where("event_type = 'view'").join(first.select("service").distinct(), "service", "left_anti")
+    first = rows.where("event_type = 'error' AND value > 95")
+    other = rows.where("event_type = 'view'").join(first.select("pod").distinct(), "pod", "left_anti")
     return first.select("service", "event_type").unionByName(other.select("service", "event_type")).groupBy("service", F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"))
