@@ -21,7 +21,7 @@ def duck():
 
 def rows(frame: pd.DataFrame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if v is None or v != v or v is pd.NaT else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("null" if v is None or v is pd.NA or v is pd.NaT or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))

@@ -77,9 +77,9 @@ def graph_adjacency_normalised(spark, d):
     return rounded(G.normalised(G.dense(_edges(spark, d), _nodes(spark, d)), "volume"), "a")
 
 
-@query(f"WITH {CALLS} SELECT src, dst, round(latency_median_s, 6) AS latency FROM edges")
+@query(f"WITH {CALLS} SELECT src, dst, round(latency_median_s, 9) AS latency FROM edges")
 def graph_channel_latency(spark, d):
-    return _edges(spark, d).select("src", "dst", F.round("latency_median_s", 6).alias("latency"))
+    return _edges(spark, d).select("src", "dst", F.round("latency_median_s", 9).alias("latency"))
 
 
 @query(f"""WITH {CALLS} {NORM}, f AS (SELECT service_name AS node, avg(duration_s) AS value FROM spans GROUP BY ALL)
