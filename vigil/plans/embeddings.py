@@ -1,7 +1,6 @@
 """Queries over vectors and classes."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
