@@ -51,13 +51,6 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this module's own making, through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that does not clash with those of df, compared without case."""
     have = {c.lower() for c in df.columns}

@@ -9,11 +9,12 @@ Method:
    of 0.8 a pair shares none with a probability of 5e-5.
 3. In each bucket the members are compared with the smallest one, which joins most of what belongs together. Comparisons are
    exact, on the texts, and each pair is compared once.
-4. In buckets that still hold several components, other pairs from different components are looked at in blocks of BLOCK
-   members: those whose signatures are not five standard deviations below the threshold are compared as well. Pairs of one
-   component need no comparison, since they cannot change a class, and a block sends on at most PAIRS pairs for any two
-   components at a time: the step is repeated, without the pairs already compared, until no pair is left. So no link between
-   components is lost, and neither a bucket's pairs nor any group of documents meet in one task.
+4. In buckets that still hold several components, signatures are compared in blocks of BLOCK members: a node and another,
+   no smaller component go on when some member's signature is not five standard deviations below the threshold. Pairs of one
+   component need no comparison, since they cannot change a class.
+5. Each such node is compared with that component, whose members are dealt into blocks of BLOCK: exactly, with every member
+   whose signature is not that far below, until one is similar enough. So no link between components is lost, no pair of a
+   block becomes a row, and neither a bucket nor a component meets in one task.
 
 Cases: a text of fewer than SHINGLE words has one shingle, all of it; a null text or one without words is a class of its own
 and not copied by any other; repeated rows are members of one class; a null doc_id counts as larger than all others; an empty
@@ -36,7 +37,7 @@ from vigil.llm.substring_dedup import LAST, keyed
 from vigil.llm.wordhash import boundaries, hash_runs, hash_words, mix, run_starts
 
 SHINGLE, THRESHOLD, BANDS, DEPTH = 5, 0.8, 25, 5
-BLOCK, PAIRS = 512, 64
+BLOCK = 1024
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -106,72 +107,136 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
     return both.mapInArrow(run, "a long, b long, j double")
 
 
-def _open_pairs(rows: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """rows: bucket, one, two (numbers of blocks), node, comp, sig, failed. Pairs of different components that may be similar and have not been compared."""
-    least = threshold - 5 * (threshold * (1 - threshold) / registers) ** 0.5
-
-    def group(block: dict) -> list[tuple[int, int]]:
-        order = np.argsort(block["comp"], kind="stable")
-        node, comp, side = block["node"][order], block["comp"][order], block["side"][order]
-        sig = np.frombuffer(b"".join([block["sig"][i] for i in order]), np.uint8).reshape(len(order), registers)
-        failed = [set(block["failed"][i] or ()) for i in order]
-        same = block["one"] == block["two"]
-        out, sent = [], {}
-        upto = np.searchsorted(comp, comp, side="right")
-        for i in range(len(order)):
-            j = int(upto[i])
-            if j == len(order):
-                break
-            near = (sig[j:] == sig[i]).mean(axis=1)
-            good = np.flatnonzero((near >= least) & (same | (side[j:] != side[i]))) + j
-            for k in good[np.argsort(-near[good - j], kind="stable")].tolist():
-                key = (comp[i], comp[k])
-                if sent.get(key, 0) < PAIRS and int(node[k]) not in failed[i]:
-                    sent[key] = sent.get(key, 0) + 1
-                    out.append((int(max(node[i], node[k])), int(min(node[i], node[k]))))
-        return out
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups: what one batch leaves open waits for the next."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]) if rest is not None else now
+        last = np.ones(rest.num_rows, bool)
+        for k in keys:
+            last &= rest.column(k).to_numpy() == rest.column(k)[-1].as_py()
+        cut = int(np.argmax(last))
+        if cut:
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _cuts(table_: pa.Table, keys: tuple[str, ...]) -> list[tuple[int, int]]:
+    new = np.zeros(max(table_.num_rows - 1, 0), bool)
+    for k in keys:
+        new |= np.diff(table_.column(k).to_numpy()) != 0
+    at = (np.flatnonzero(new) + 1).tolist()
+    return list(zip([0, *at], [*at, table_.num_rows], strict=True))
+
+
+def _signatures(column: pa.ChunkedArray, registers: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), registers)
+
+
+def _least(threshold: float, registers: int) -> float:
+    """The share of equal registers that a pair at the threshold does not fall short of: five standard deviations below."""
+    return threshold - 5 * (threshold * (1 - threshold) / registers) ** 0.5
+
+
+def _candidates(rows: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """rows: bucket, one, two (numbers of blocks), side, node, comp, k (the component's size), sig. Returns node, comp: another component, larger or as large, with a member that the node may be similar to."""
+    keys, least = ("bucket", "one", "two"), _least(threshold, registers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            out: set[tuple[int, int]] = set()
+            node, comp, side, size = (group.column(c).to_numpy() for c in ("node", "comp", "side", "k"))
+            one, two, sig = group.column("one").to_numpy(), group.column("two").to_numpy(), _signatures(group.column("sig"), registers)
+            for lo, hi in _cuts(group, keys):
+                if hi - lo < 2:
+                    continue
+                order = lo + np.lexsort((comp[lo:hi], size[lo:hi]))  # components in order of size, so what follows is no smaller
+                c, s, g, n = comp[order], side[order], sig[order], node[order]
+                same = one[lo] == two[lo]
+                ends = np.append(np.flatnonzero(np.diff(c) != 0) + 1, len(c))
+                upto = ends[np.searchsorted(ends, np.arange(len(c)), side="right")]
+                for i in range(int(upto[-1] - (ends[-1] - (ends[-2] if len(ends) > 1 else 0)))):
+                    j = int(upto[i])
+                    good = ((g[j:] == g[i]).mean(axis=1) >= least) & (same | (s[j:] != s[i]))
+                    out.update((int(n[i]), int(x)) for x in np.unique(c[j:][good]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["node", "comp"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "side", "node", "comp", "k", "sig").mapInArrow(run, "node long, comp long").distinct()
+
+
+def _counted(owner: np.ndarray, element: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different elements of each of n multisets with their counts, where each multiset starts, and the sizes."""
+    order = np.lexsort((element, owner))
+    owner, element = owner[order], element[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (element[1:] != element[:-1])])) if len(owner) else np.zeros(0, np.int64)
+    return element[new], np.diff(np.append(new, len(owner))), np.searchsorted(owner[new], np.arange(n + 1)), np.bincount(owner, minlength=n)
+
+
+def _links(rows: DataFrame, threshold: float, registers: int, size: int) -> DataFrame:
+    """rows: comp, part, guest (1 for a node from elsewhere, 0 for a member), node, sig, text. Returns a, b: one link of each guest that has one in the block."""
+    keys, least = ("comp", "part"), _least(threshold, registers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            cols = {c: t.column(c).to_numpy() for c in ("bucket", "one", "two", "node", "comp", "side")}
-            cuts = np.flatnonzero((np.diff(cols["bucket"]) != 0) | (np.diff(cols["one"]) != 0) | (np.diff(cols["two"]) != 0)) + 1
-            sigs, failed, pairs = t.column("sig").to_pylist(), t.column("failed").to_pylist(), []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
-                if hi - lo > 1:
-                    pairs += group({c: cols[c][lo:hi] for c in ("node", "comp", "side")} | {"sig": sigs[lo:hi], "failed": failed[lo:hi], "one": cols["one"][lo], "two": cols["two"][lo]})
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, now]) if rest is not None else now
-            last = [rest.column(c)[-1].as_py() for c in ("bucket", "one", "two")]
-            mask = np.ones(rest.num_rows, bool)
-            for c, v in zip(("bucket", "one", "two"), last, strict=True):
-                mask &= rest.column(c).to_numpy() == v
-            cut = int(np.argmax(mask))
-            if cut:
-                yield done(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None:
-            yield done(rest)
-
-    dealt = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return dealt.select("bucket", "one", "two", "side", "node", "comp", "sig", "failed").mapInArrow(run, "a long, b long").distinct()
+        for group in _groups(batches, keys):
+            out = []
+            node, guest, sig = group.column("node").to_numpy(), group.column("guest").to_numpy(), _signatures(group.column("sig"), registers)
+            for lo, hi in _cuts(group, keys):
+                guests, members = lo + np.flatnonzero(guest[lo:hi] == 1), lo + np.flatnonzero(guest[lo:hi] == 0)
+                if not len(guests) or not len(members):
+                    continue
+                element, count, start, total = _counted(*shingles(group.column("text").slice(lo, hi - lo).combine_chunks(), size), hi - lo)
+                for a in guests.tolist():
+                    near = (sig[members] == sig[a]).mean(axis=1)
+                    pick = members[near >= least][np.argsort(-near[near >= least], kind="stable")]
+                    own, times = element[start[a - lo] : start[a - lo + 1]], count[start[a - lo] : start[a - lo + 1]]
+                    for at in range(0, len(pick), 128):
+                        some = pick[at : at + 128] - lo
+                        sizes = start[some + 1] - start[some]
+                        index = np.repeat(start[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                        place = np.minimum(np.searchsorted(own, element[index]), len(own) - 1)
+                        common = np.where(own[place] == element[index], np.minimum(times[place], count[index]), 0)
+                        shared = np.bincount(np.repeat(np.arange(len(some)), sizes), common, minlength=len(some))
+                        similar = np.flatnonzero(shared / np.maximum(total[a - lo] + total[some] - shared, 1) >= threshold)
+                        if len(similar):
+                            out.append((int(node[a]), int(node[lo + some[similar[0]]])))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "guest", "node", "sig", "text").mapInArrow(run, "a long, b long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Each row once for each pair of blocks that its block is in; a bucket of up to BLOCK rows is one block."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-    n = F.ceil(F.col("k") / BLOCK).cast("int")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    n = F.ceil(F.col("_rows") / BLOCK).cast("int")
     dealt = rows.join(sizes, "bucket").withColumn("n", n).withColumn("side", F.pmod(F.xxhash64("node", F.lit(9)), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     return dealt.select("*", other).withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
 
 
+def _rest(members: DataFrame, roots: DataFrame, named: DataFrame, texts: DataFrame, threshold: float, registers: int, size: int) -> DataFrame:
+    """Links between components of one bucket that the comparison with its smallest member has not shown."""
+    comps = named.select("node", "sig").join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("comp"))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
+    nodes = materialize(comps.join(sizes, "comp"), "nodes")
+    wide = members.where("k > 2").where("node <> head").select("bucket", "node").join(nodes.select("node", "comp"), "node")
+    several = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    open_rows = materialize(wide.join(several, "bucket", "left_semi").join(nodes.select("node", "k", "sig"), "node"), "open")
+    found = materialize(_candidates(_blocks(open_rows), threshold, registers), "candidates")
+    asked = found.select("comp").distinct()
+    parts = F.ceil(F.col("k") / BLOCK).cast("int")
+    hosts = nodes.join(asked, "comp", "left_semi").select("comp", F.pmod(F.xxhash64("node", F.lit(9)), parts).cast("int").alias("part"), F.lit(0).alias("guest"), "node", "sig")
+    guests = found.join(sizes, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).join(nodes.select("node", "sig"), "node").select("comp", "part", F.lit(1).alias("guest"), "node", "sig")
+    return _links(hosts.unionByName(guests).join(texts, "node"), threshold, registers, size)
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
     """One row for each row of docs: doc_id, place, th, uid, root (the class's number), kept (true for the smallest doc_id of the class), class_id (that doc_id) and class_size."""
     rows = materialize(profile(docs, size, bands, depth), "profile")
@@ -185,22 +250,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     named = materialize(named.dropDuplicates(["place", "th"]), "named")
     texts = materialize(keyed(docs).dropDuplicates(["place", "th"]).join(named.select("node", "place", "th"), ["place", "th"]).select("node", "text"), "texts")
 
-    todo = materialize(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    wide = members.where("k > 2").where("node <> head").select("bucket", "node")
-    compared = None
-    roots = None
-    while todo.limit(1).count():
-        found = materialize(compare(todo, texts, size), "compared")
-        compared = found if compared is None else materialize(compared.union(found), "all-compared")
-        roots = materialize(components(compared.where(F.col("j") >= threshold)), "roots")
-        placed = wide.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-        several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        missed = compared.where(F.col("j") < threshold)
-        missed = missed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(missed.select(F.col("b").alias("node"), F.col("a").alias("other"))).groupBy("node").agg(F.collect_set("other").alias("failed"))
-        open_rows = placed.join(several, "bucket", "left_semi").join(named.select("node", "sig"), "node").join(missed, "node", "left")
-        todo = materialize(_open_pairs(_blocks(open_rows), threshold, bands * depth), "pairs")
-    if roots is None:
-        roots = members.select("node", F.col("node").alias("root")).limit(0)
+    roots = members.select("node", F.col("node").alias("root")).limit(0)
+    todo = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = materialize(compare(todo, texts, size).where(F.col("j") >= threshold).select("a", "b"), "links")
+    if members.limit(1).count():
+        roots = materialize(components(links), "roots")
+        more = materialize(_rest(members, roots, named, texts, threshold, bands * depth, size), "more-links")
+        if more.limit(1).count():
+            roots = materialize(components(links.union(more)), "roots")
     placed = rows.select("doc_id", "place", "th", "uid", "n", "k1", "k2").join(first, ["k1", "k2", "n"], "left").join(roots, "node", "left")
     placed = placed.select("doc_id", "place", "th", "uid", F.coalesce("root", "node", "uid").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size"))
