@@ -32,13 +32,12 @@ _NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def template(text: Column) -> Column:
-    """The template words of a text as an array. Words without a letter or digit drop out."""
+    """The template words of a text as an array. Words without a letter or digit drop out; a text without any has one empty word."""
     numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
     named = F.regexp_replace(numbered, rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*", NAME)
     united = F.regexp_replace(named, rf"(?<={NUMBER}\x20)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]){_NOT_SPACE}*", UNIT)
     bare = F.lower(F.regexp_replace(united, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", ""))
-    trimmed = F.regexp_replace(bare, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
+    return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
 
 
 def originals(text: Column) -> Column:
@@ -51,9 +50,9 @@ def is_slot(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows (with `words`) once for each window: at (from 0) and its hash."""
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at")
-    return rows.where(F.size("words") >= size).select("*", at).withColumn("hash", F.xxhash64(F.slice("words", F.col("at") + 1, F.lit(size))))
+    """rows (with `words`) once for each window: at (from 0) and its hash. The size is tested in the generator: as a filter it would move below the template and compute that again."""
+    at = F.explode(F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))).alias("at")
+    return rows.select("*", at).withColumn("hash", F.xxhash64(F.slice("words", F.col("at") + 1, F.lit(size))))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
