@@ -49,42 +49,60 @@ def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
+def folded(text: Column) -> Column:
+    """The words without case and signs, in the same places as the template's."""
+    bare = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
+    return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+
+
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows (with `words`) once for each window: at (from 0) and its hash. The size is tested in the generator: as a filter it would move below the template and compute that again."""
+    """rows (with `words`) once for each window: at (from 0). The size is tested in the generator: as a filter it would move below the template and compute that again."""
     at = F.explode(F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))).alias("at")
-    return rows.select("*", at).withColumn("hash", F.xxhash64(F.slice("words", F.col("at") + 1, F.lit(size))))
+    return rows.select("*", at)
+
+
+def body(words: str, size: int) -> Column:
+    return F.slice(words, F.col("at") + 1, F.lit(size))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
-    """hash, item_id, item_at, n_item (windows of the item), slots (original words and places of the window's placeholders)."""
+    """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (template windows of the item), n_all (its windows), slots (original words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), template(text).alias("words"))
     items = items.groupBy("words").agg(F.min(F.struct("item_id", "text")).alias("first")).select("first.item_id", "first.text", "words")
-    found = windows(items.withColumn("own", originals(F.col("text"))), size)
-    body = F.slice("words", F.col("at") + 1, F.lit(size))
-    places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body, i)))
-    found = found.withColumn("places", places).where(F.size("places") <= size - literal)
+    found = windows(items.withColumn("own", originals(F.col("text"))).withColumn("fold", folded(F.col("text"))), size)
+    places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body("words", size), i)))
+    found = found.withColumn("places", places).withColumn("usable", F.size("places") <= size - literal)
     slots = F.transform("places", lambda i: F.struct(i.alias("i"), F.get("own", F.col("at") + i).alias("word")))
-    found = found.select("hash", "item_id", F.col("at").alias("item_at"), slots.alias("slots"))
-    sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    return found.join(sizes, "item_id")
+    none = F.filter(slots, lambda s: F.lit(False))
+    kinds = F.array(
+        F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), none.alias("slots")),
+        F.when(F.col("usable") & (F.size("places") > 0), F.struct(F.xxhash64(body("words", size)).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))),
+    )
+    sizes = found.groupBy("item_id").agg(F.sum(F.col("usable").cast("long")).alias("n_item"), F.count(F.lit(1)).alias("n_all"))
+    found = found.select("item_id", F.col("at").alias("item_at"), F.explode(F.array_compact(kinds)).alias("kind"))
+    return found.select("kind.*", "item_id", "item_at").join(sizes, "item_id")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int = RUN, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, th (hash of the text), item_id, n_windows (aligned and consistent), n_item, reworded (some slot differs)."""
     sides = materialize(benchmark_windows(benchmark, size), "benchmark")
-    known = sides.select("hash", "item_id", "item_at", "n_item", "slots")
+    known = sides.select("hash", "item_id", "item_at", "exact", "n_item", "n_all", "slots")
     if known.count() <= broadcast:
         known = F.broadcast(known)
     text = whole_text()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"))
-    hit = windows(rows, size).join(known, "hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"), folded(text).alias("fold"))
+    hashes = F.array_distinct(F.array(F.xxhash64(body("words", size)), F.xxhash64(body("fold", size))))
+    hit = windows(rows, size).select("doc_id", "text", "at", F.explode(hashes).alias("hash")).join(known, "hash")
     own = originals(F.col("text"))
     pairs = F.when(F.size("slots") > 0, F.transform("slots", lambda s: F.struct(s["word"].alias("item"), F.get(own, F.col("at") + s["i"]).alias("doc")))).otherwise(F.array().cast("array<struct<item:string,doc:string>>"))
-    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
-    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "shift").agg(F.countDistinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_all", "exact", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    places = F.countDistinct("at").alias("n")
+    verbatim = F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("n_exact")
+    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_all", "shift").agg(places, verbatim, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    aligned = aligned.where(agree & (F.col("n") >= F.least(F.lit(run), F.col("n_item"))))
+    reached = agree & (F.col("n_item") > 0) & (F.col("n") >= F.least(F.lit(run), F.col("n_item")))
+    aligned = aligned.where(reached | (F.col("n_exact") >= F.least(F.lit(run), F.col("n_all"))))
     differs = F.exists("pairs", lambda p: p["item"] != p["doc"])
     return aligned.groupBy("doc_id", "th", "item_id", "n_item").agg(F.max("n").alias("n_windows"), F.max(differs).alias("reworded"))
 
