@@ -16,3 +16,10 @@ def test_other_letter_case(spark):
     item = "First, sort the list, then take the least, then drop the rest, and say, in a word, what is left of it."
     docs = [(1, item.upper()), (2, item.lower()), (3, "So: " + item), (4, "FIRST, SORT THE LIST, THEN GO HOME AND SAY NOTHING OF IT TO ANYONE ELSE.")]
     assert found(spark, docs, [(7, item)]) == [(1, 7, False), (2, 7, False), (3, 7, False)]
+
+
+def test_items_of_one_template(spark):
+    first, second = ("A box holds 3 red balls and {} more are then put into it, so how many balls of either kind does the box hold now".format(n) for n in (3, 5))
+    docs = [(1, "Well: " + second), (2, first), (3, "A box holds 7 red balls and 9 more are then put into it, so how many balls of either kind does the box hold now")]
+    got = found(spark, docs, [(1, first), (2, second), (3, second)])
+    assert {(1, 2, False), (2, 1, False), (3, 2, True)} <= set(got) and not any(i == 3 for _, i, _ in got)

@@ -9,7 +9,7 @@ alignments of placeholders are not. A document is contaminated by an item when R
 if it has fewer).
 
 The benchmark's windows are broadcast only up to BROADCAST windows; beyond that the join is a shuffled one. Items with one
-template count as the smallest item_id of them. Items of fewer than SIZE words have no window and match nothing.
+text count as the smallest item_id of them. Items of fewer than SIZE words have no window and match nothing.
 
 Cases: null texts are empty; texts of any length are read whole; rows with the same doc_id and text are one document; an
 empty table, of documents or of the benchmark, gives no rows; other columns are not read.
@@ -69,7 +69,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LIT
     """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (template windows of the item), n_all (its windows), slots (original words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), template(text).alias("words"))
-    items = items.groupBy("words").agg(F.min(F.struct("item_id", "text")).alias("first")).select("first.item_id", "first.text", "words")
+    items = items.groupBy("text", "words").agg(F.min("item_id").alias("item_id"))
     found = windows(items.withColumn("own", originals(F.col("text"))).withColumn("fold", folded(F.col("text"))), size)
     places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body("words", size), i)))
     found = found.withColumn("places", places).withColumn("usable", F.size("places") <= size - literal)
