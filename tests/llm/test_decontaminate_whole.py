@@ -23,3 +23,12 @@ def test_items_of_one_template(spark):
     docs = [(1, "Well: " + second), (2, first), (3, "A box holds 7 red balls and 9 more are then put into it, so how many balls of either kind does the box hold now")]
     got = found(spark, docs, [(1, first), (2, second), (3, second)])
     assert {(1, 2, False), (2, 1, False), (3, 2, True)} <= set(got) and not any(i == 3 for _, i, _ in got)
+
+
+def test_many_numbers(spark):
+    item = "Compute 12 + 7 - 4 * 9 / 3 + 88 - 5 * 6 and give 2 digits"
+    docs = [(1, "Task. " + item), (2, item.replace("*", "x") + " or so"), (3, "Compute 1 + 2 - 3 * 4 / 5 + 6 - 7 * 8 and give 9 digits")]
+    got = found(spark, docs, [(4, item)])
+    assert got == [(1, 4, False)]
+    rows = dc.matches(*(spark.createDataFrame([(1, item)], f"{k} long, text string") for k in ("doc_id", "item_id"))).collect()
+    assert [(r.n_windows, r.n_item) for r in rows] == [(6, 6)]

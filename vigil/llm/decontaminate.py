@@ -66,7 +66,7 @@ def body(words: str, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
-    """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (template windows of the item), n_all (its windows), slots (original words and places of the window's placeholders)."""
+    """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (original words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), template(text).alias("words"))
     items = items.groupBy("text", "words").agg(F.min("item_id").alias("item_id"))
@@ -79,15 +79,15 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LIT
         F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), none.alias("slots")),
         F.when(F.col("usable") & (F.size("places") > 0), F.struct(F.xxhash64(body("words", size)).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))),
     )
-    sizes = found.groupBy("item_id").agg(F.sum(F.col("usable").cast("long")).alias("n_item"), F.count(F.lit(1)).alias("n_all"))
-    found = found.select("item_id", F.col("at").alias("item_at"), F.explode(F.array_compact(kinds)).alias("kind"))
-    return found.select("kind.*", "item_id", "item_at").join(sizes, "item_id")
+    sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sum(F.col("usable").cast("long")).alias("n_slot"))
+    found = found.select("item_id", F.col("at").alias("item_at"), "usable", F.explode(F.array_compact(kinds)).alias("kind"))
+    return found.select("kind.*", "item_id", "item_at", "usable").join(sizes, "item_id")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int = RUN, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, th (hash of the text), item_id, n_windows (aligned and consistent), n_item, reworded (some slot differs)."""
     sides = materialize(benchmark_windows(benchmark, size), "benchmark")
-    known = sides.select("hash", "item_id", "item_at", "exact", "n_item", "n_all", "slots")
+    known = sides.select("hash", "item_id", "item_at", "exact", "usable", "n_item", "n_slot", "slots")
     if known.count() <= broadcast:
         known = F.broadcast(known)
     text = whole_text()
@@ -96,13 +96,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     hit = windows(rows, size).select("doc_id", "text", "at", F.explode(hashes).alias("hash")).join(known, "hash")
     own = originals(F.col("text"))
     pairs = F.when(F.size("slots") > 0, F.transform("slots", lambda s: F.struct(s["word"].alias("item"), F.get(own, F.col("at") + s["i"]).alias("doc")))).otherwise(F.array().cast("array<struct<item:string,doc:string>>"))
-    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_all", "exact", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_slot", "exact", "usable", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
     places = F.countDistinct("at").alias("n")
     verbatim = F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("n_exact")
-    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_all", "shift").agg(places, verbatim, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    slotted = F.count_distinct(F.when(F.col("usable"), F.col("at"))).alias("n_usable")
+    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(places, verbatim, slotted, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    reached = agree & (F.col("n_item") > 0) & (F.col("n") >= F.least(F.lit(run), F.col("n_item")))
-    aligned = aligned.where(reached | (F.col("n_exact") >= F.least(F.lit(run), F.col("n_all"))))
+    whole, short = F.least(F.lit(run), F.col("n_item")), (F.col("n_slot") > 0) & (F.col("n_usable") >= F.least(F.lit(run), F.col("n_slot")))
+    aligned = aligned.where((F.col("n_exact") >= whole) | agree & ((F.col("n") >= whole) | short))
     differs = F.exists("pairs", lambda p: p["item"] != p["doc"])
     return aligned.groupBy("doc_id", "th", "item_id", "n_item").agg(F.max("n").alias("n_windows"), F.max(differs).alias("reworded"))
 
