@@ -32,3 +32,16 @@ def test_many_numbers(spark):
     assert got == [(1, 4, False)]
     rows = dc.matches(*(spark.createDataFrame([(1, item)], f"{k} long, text string") for k in ("doc_id", "item_id"))).collect()
     assert [(r.n_windows, r.n_item) for r in rows] == [(6, 6)]
+
+
+def test_signs_and_one_other_number(spark):
+    item = "If a train leaves Paris at 10 km from the old town, how many trains does Anna meet in 25 minutes before she gives Anna a call from the sea?"
+    long = item + " And when the train has left the old town for good, then Anna goes on foot for 10 km and takes a rest of 25 minutes by the big lake before Anna turns back."
+    docs = [
+        (1, item.replace("gives Anna", "gives Anna,")),
+        (2, item.replace("25", "25,")),
+        (3, long.replace("Anna", "Maria").replace("for 10 km", "for 12 km")),
+        (4, item.replace("gives Anna", "gives Otto").replace("10", "30").replace("from the sea", "from a hill")),
+    ]
+    got = found(spark, docs, [(1, item), (2, long)])
+    assert {(1, 1, False), (2, 1, False), (3, 2, True)} <= set(got)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from vigil.llm.common import SPACE_CLASS, free_name, materialize, table, whole_text
 
 SIZE, LITERAL, RUN, BROADCAST = 8, 5, 3, 200_000
+#: The windows that keep one mapping of the slots must be so large a part (two thirds) of the aligned ones.
+SHARE = 2, 3
 #: One private-use character each.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that count as such behind a number.
@@ -40,11 +42,6 @@ def template(text: Column) -> Column:
     return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
 
 
-def originals(text: Column) -> Column:
-    """The words that the template words come from, in the same places."""
-    return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")))
-
-
 def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
@@ -66,14 +63,14 @@ def body(words: str, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
-    """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (original words and places of the window's placeholders)."""
+    """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (folded words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), template(text).alias("words"))
     items = items.groupBy("text", "words").agg(F.min("item_id").alias("item_id"))
-    found = windows(items.withColumn("own", originals(F.col("text"))).withColumn("fold", folded(F.col("text"))), size)
+    found = windows(items.withColumn("fold", folded(F.col("text"))), size)
     places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body("words", size), i)))
     found = found.withColumn("places", places).withColumn("usable", F.size("places") <= size - literal)
-    slots = F.transform("places", lambda i: F.struct(i.alias("i"), F.get("own", F.col("at") + i).alias("word")))
+    slots = F.transform("places", lambda i: F.struct(i.alias("i"), F.get("fold", F.col("at") + i).alias("word")))
     none = F.filter(slots, lambda s: F.lit(False))
     kinds = F.array(
         F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), none.alias("slots")),
@@ -93,19 +90,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"), folded(text).alias("fold"))
     hashes = F.array_distinct(F.array(F.xxhash64(body("words", size)), F.xxhash64(body("fold", size))))
-    hit = windows(rows, size).select("doc_id", "text", "at", F.explode(hashes).alias("hash")).join(known, "hash")
-    own = originals(F.col("text"))
-    pairs = F.when(F.size("slots") > 0, F.transform("slots", lambda s: F.struct(s["word"].alias("item"), F.get(own, F.col("at") + s["i"]).alias("doc")))).otherwise(F.array().cast("array<struct<item:string,doc:string>>"))
-    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_slot", "exact", "usable", "at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
-    places = F.countDistinct("at").alias("n")
-    verbatim = F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("n_exact")
-    slotted = F.count_distinct(F.when(F.col("usable"), F.col("at"))).alias("n_usable")
-    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(places, verbatim, slotted, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    whole, short = F.least(F.lit(run), F.col("n_item")), (F.col("n_slot") > 0) & (F.col("n_usable") >= F.least(F.lit(run), F.col("n_slot")))
-    aligned = aligned.where((F.col("n_exact") >= whole) | agree & ((F.col("n") >= whole) | short))
-    differs = F.exists("pairs", lambda p: p["item"] != p["doc"])
-    return aligned.groupBy("doc_id", "th", "item_id", "n_item").agg(F.max("n").alias("n_windows"), F.max(differs).alias("reworded"))
+    hit = windows(rows, size).select("doc_id", "text", "fold", "at", F.explode(hashes).alias("hash")).join(known, "hash")
+    pairs = F.transform("slots", lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
+    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
+    aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(F.collect_set("hit").alias("hits"))
+    aligned = aligned.withColumn("every", F.flatten("hits.pairs"))
+    aligned = aligned.withColumn("seen", F.transform(F.array_distinct("every"), lambda p: F.struct(p.alias("pair"), F.size(F.filter("every", lambda q: q == p)).alias("n"))))
+    beaten = lambda c: F.exists("seen", lambda e: (e["pair"]["item"] == c["pair"]["item"]) & ((e["n"] > c["n"]) | (e["n"] == c["n"]) & (e["pair"]["doc"] < c["pair"]["doc"])))
+    aligned = aligned.withColumn("lost", F.transform(F.filter("seen", beaten), lambda c: c["pair"]))
+    aligned = aligned.withColumn("good", F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("lost"))))
+    places = lambda name, test: F.size(F.array_distinct(F.transform(F.filter(name, test), lambda h: h["at"])))
+    n, whole = places("good", lambda h: F.lit(True)), F.least(F.lit(run), F.col("n_item"))
+    most = SHARE[1] * n >= SHARE[0] * places("hits", lambda h: F.lit(True))
+    short = (F.col("n_slot") > 0) & (places("good", lambda h: h["usable"]) >= F.least(F.lit(run), F.col("n_slot")))
+    aligned = aligned.where((places("hits", lambda h: h["exact"]) >= whole) | most & ((n >= whole) | short))
+    differs = F.exists("every", lambda p: p["item"] != p["doc"])
+    return aligned.select("doc_id", "th", "item_id", "n_item", n.alias("n"), differs.alias("differs")).groupBy("doc_id", "th", "item_id", "n_item").agg(F.max("n").alias("n_windows"), F.max("differs").alias("reworded"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
