@@ -45,3 +45,11 @@ def test_signs_and_one_other_number(spark):
     ]
     got = found(spark, docs, [(1, item), (2, long)])
     assert {(1, 1, False), (2, 1, False), (3, 2, True)} <= set(got)
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Alice has 5 apples and 2 pears. Alice gives Bob 3 apples. Alice then buys 4 kiwis. Bob eats one of the pears. How many pieces of fruit does Alice have now?"
+    other = item.replace("Alice", "Maria").replace("Bob", "Otto")
+    docs = [(1, other), (2, other.replace(". ", ".\n")), (3, 'He said: "' + other.replace("Otto", '"Otto"') + '"'), (4, other.replace("Maria gives", "Karl gives").replace("does Maria", "does Emil"))]
+    got = found(spark, docs, [(1, item)])
+    assert {(1, 1, True), (2, 1, True), (3, 1, True)} <= set(got)

@@ -25,6 +25,8 @@ from vigil.llm.common import SPACE_CLASS, free_name, materialize, table, whole_t
 SIZE, LITERAL, RUN, BROADCAST = 8, 5, 3, 200_000
 #: The windows that keep one mapping of the slots must be so large a part (two thirds) of the aligned ones.
 SHARE = 2, 3
+#: Literal words of a window in which every capitalised word is a name.
+WIDE_LITERAL = 4
 #: One private-use character each.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that count as such behind a number.
@@ -33,11 +35,12 @@ UNITS = "mm cm dm m km g mg kg t l ml s ms min h hours hour minutes minute secon
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def template(text: Column) -> Column:
-    """The template words of a text as an array. Words without a letter or digit drop out; a text without any has one empty word."""
+def template(text: Column, wide: bool = False) -> Column:
+    """The template words of a text as an array. Words without a letter or digit drop out; a text without any has one empty word. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
     numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
-    named = F.regexp_replace(numbered, rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*", NAME)
-    united = F.regexp_replace(named, rf"(?<={NUMBER}\x20)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]){_NOT_SPACE}*", UNIT)
+    name = rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*\p{{Lu}}{_NOT_SPACE}*" if wide else rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*"
+    named = F.regexp_replace(numbered, name, NAME)
+    united = F.regexp_replace(named, rf"(?<={NUMBER}{SPACE_CLASS if wide else r'\x20'})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]){_NOT_SPACE}*", UNIT)
     bare = F.lower(F.regexp_replace(united, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", ""))
     return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
 
@@ -65,19 +68,19 @@ def body(words: str, size: int) -> Column:
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
     """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (folded words and places of the window's placeholders)."""
     text = whole_text()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), template(text).alias("words"))
-    items = items.groupBy("text", "words").agg(F.min("item_id").alias("item_id"))
-    found = windows(items.withColumn("fold", folded(F.col("text"))), size)
-    places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body("words", size), i)))
-    found = found.withColumn("places", places).withColumn("usable", F.size("places") <= size - literal)
-    slots = F.transform("places", lambda i: F.struct(i.alias("i"), F.get("fold", F.col("at") + i).alias("word")))
-    none = F.filter(slots, lambda s: F.lit(False))
-    kinds = F.array(
-        F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), none.alias("slots")),
-        F.when(F.col("usable") & (F.size("places") > 0), F.struct(F.xxhash64(body("words", size)).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))),
-    )
-    sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sum(F.col("usable").cast("long")).alias("n_slot"))
-    found = found.select("item_id", F.col("at").alias("item_at"), "usable", F.explode(F.array_compact(kinds)).alias("kind"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
+    text = F.col("text")
+    found = windows(items.select("item_id", template(text).alias("words"), template(text, True).alias("wide"), folded(text).alias("fold")), size)
+    kinds = [F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), F.lit(None).cast("array<struct<i:int,word:string>>").alias("slots"))]
+    fits = {}
+    for words, least in (("words", literal), ("wide", min(literal, WIDE_LITERAL))):
+        places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body(words, size), i)))  # noqa: B023
+        slots = F.transform(places, lambda i: F.struct(i.alias("i"), F.get("fold", F.col("at") + i).alias("word")))
+        fits[words] = F.size(places) <= size - least
+        kinds.append(F.when(fits[words] & (F.size(places) > 0), F.struct(F.xxhash64(body(words, size)).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))))
+    found = found.withColumn("usable", fits["words"] | fits["wide"]).withColumn("kinds", F.array_distinct(F.array_compact(F.array(*kinds))))
+    sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sum(fits["words"].cast("long")).alias("n_slot"))
+    found = found.select("item_id", F.col("at").alias("item_at"), "usable", F.explode("kinds").alias("kind"))
     return found.select("kind.*", "item_id", "item_at", "usable").join(sizes, "item_id")
 
 
@@ -88,10 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     if known.count() <= broadcast:
         known = F.broadcast(known)
     text = whole_text()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"), folded(text).alias("fold"))
-    hashes = F.array_distinct(F.array(F.xxhash64(body("words", size)), F.xxhash64(body("fold", size))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"), template(text, True).alias("wide"), folded(text).alias("fold"))
+    hashes = F.array_distinct(F.array(*(F.xxhash64(body(w, size)) for w in ("words", "wide", "fold"))))
     hit = windows(rows, size).select("doc_id", "text", "fold", "at", F.explode(hashes).alias("hash")).join(known, "hash")
-    pairs = F.transform("slots", lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
+    pairs = F.transform(F.coalesce("slots", F.array().cast("array<struct<i:int,word:string>>")), lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
     hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
     aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(F.collect_set("hit").alias("hits"))
     aligned = aligned.withColumn("every", F.flatten("hits.pairs"))
