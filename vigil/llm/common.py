@@ -60,10 +60,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, one after another, and the offsets of the texts; nulls are empty."""
-    column = column.cast(pa.large_string())
+    """UTF-8 bytes of all texts (or the bytes of binary values), one after another, and the offsets of the texts; nulls are empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     _, offsets, data = column.buffers()
     if n == 0 or data is None:

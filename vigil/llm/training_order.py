@@ -11,8 +11,9 @@ task that counts otherwise than before stops the run. What a batch sends to one
 permutation spreads every document over all shards, so none is larger than another. A shard is written by one task under a
 name of that attempt and then renamed, so a repeated attempt leaves the same file.
 
-The ids are the bytes of UTF-8, one byte each: their number is known from the length of a text, so the order is settled
-before anything is encoded, and neither ids nor texts are stored between.
+The query's ids are those of a public sentencepiece vocabulary, two bytes each (little-endian), the same as the library's.
+Texts are encoded once: the ids are stored as Parquet, their partitions are counted, and the sequences are cut from them.
+Each distinct pre-token of a partition is encoded once. Without a vocabulary, write() takes the bytes of UTF-8 as ids.
 
 Cases: a null or empty text has no sequence and gives one row without a slot; very long texts have many sequences; repeated
 rows are documents of their own; an empty table gives no rows and no shard; other columns are not read.
@@ -30,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, new_dir, table, text_buffers, whole_text
+from vigil.llm.common import chunks, materialize, new_dir, python_chunks, table, text_buffers, whole_text
+from vigil.llm.token_counts import PieceCounter
 from vigil.llm.wordhash import mix
 
 LENGTH, PER_SHARD, KEY = 512, 16_384, 20_240_229
@@ -66,16 +68,59 @@ def _shard_name(root: str, shard: int) -> str:
     return f"{root}/{shard:010d}.bin"
 
 
+class PieceIds(PieceCounter):
+    """Ids of texts, put together from those of their pre-tokens."""
+
+    def __init__(self, model: str):
+        super().__init__(model)
+        if self.pieces.get_piece_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit into two bytes")
+        self.ids: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        mark, *line_end = self.pieces.encode("\n")
+        spaced = [w for w in new if w[0] == " " and w != " "]
+        bare = [w for w in new if w[0] not in " \n"]
+        found = dict(zip(spaced, self.pieces.encode([w[1:] for w in spaced], num_threads=1), strict=True))
+        found |= {w: ids[1 + len(line_end) :] for w, ids in zip(bare, self.pieces.encode(["\n" + w for w in bare], num_threads=1), strict=True)}
+        found |= {w: ids for w, ids in (("\n", line_end), (" ", [mark])) if w in new}
+        self.ids |= {w: np.array(ids, "<u2").tobytes() for w, ids in found.items()}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        new = set().union(*split) - self.ids.keys()
+        if len(self.ids) + len(new) > self.entries:
+            self.ids.clear()
+            new = set().union(*split)
+        self.learn(sorted(new))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id and text, which is the ids, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = PieceIds(model)
+        for part, texts in python_chunks(batches, 2 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pieces.encode(texts), pa.binary())], ["doc_id", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, text binary")
+
+
 def _counts(texts: DataFrame, length: int) -> dict[int, int]:
-    """Sequences of each partition of the scan."""
+    """Sequences of each partition of the scan, of `length` bytes."""
     n = F.ceil(F.octet_length("text") / length).cast("long")
     return {r.part: r.n for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(n).alias("n")).collect()}
 
 
-def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """Write the shards and manifest.json below path when the result is computed: one row for each sequence, with its slot, shard and byte offset. docs: a scan of files, or rows of one."""
+def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, model: str | None = None) -> DataFrame:
+    """Write the shards and manifest.json below path when the result is computed: one row for each sequence, with its slot, shard and byte offset. docs: a scan of files, or rows of one. model: the vocabulary of the ids; without one they are bytes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    counts = _counts(texts, length)
+    width = 1
+    if model:
+        texts, width = materialize(encode(texts, model), "ids"), 2
+    stride = length * width
+    counts = _counts(texts, stride)
     first, total = {}, 0
     for part in sorted(counts):
         first[part] = total
@@ -84,18 +129,18 @@ def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER
         files, root = _file_system(path)
         files.create_dir(root, recursive=True)
         with files.open_output_stream(f"{root}/manifest.json") as f:
-            f.write(json.dumps({"length": length, "stride": length, "per_shard": per_shard, "total": total, "key": key}).encode())
+            f.write(json.dumps({"length": length, "stride": stride, "width": width, "per_shard": per_shard, "total": total, "key": key}).encode())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         at = first.get(part, 0)
         for rows in chunks(batches, "text", 8 << 20):
             data, offsets = text_buffers(rows.column(1))
-            n = -(-np.diff(offsets) // length)
+            n = -(-np.diff(offsets) // stride)
             doc = np.repeat(np.arange(len(n)), n)
             seq = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            start = offsets[:-1][doc] + seq * length
-            size = np.minimum(length, offsets[1:][doc] - start)
+            start = offsets[:-1][doc] + seq * stride
+            size = np.minimum(stride, offsets[1:][doc] - start)
             slot = feistel(np.arange(at, at + len(doc)), total, key)
             at += len(doc)
             order = np.argsort(slot, kind="stable")
@@ -127,13 +172,13 @@ def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER
         slot, size, doc, seq = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<i8") for k in ("slots", "sizes", "docs", "seqs"))
         null = np.frombuffer(b"".join(rows.column("nulls").to_pylist()), bool)
         place = slot - shard * per_shard
-        full = np.zeros(min(per_shard, total - shard * per_shard) * length, np.uint8)
+        full = np.zeros(min(per_shard, total - shard * per_shard) * stride, np.uint8)
         codec, at = pa.Codec("zstd"), 0
         for body, sizes in zip(rows.column("body").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
             parts = np.frombuffer(sizes, "<i8")
             data = np.frombuffer(codec.decompress(body, decompressed_size=int(parts.sum()), asbytes=True), np.uint8)
             begin = 0
-            for p, n in zip((place[at : at + len(parts)] * length).tolist(), parts.tolist(), strict=True):
+            for p, n in zip((place[at : at + len(parts)] * stride).tolist(), parts.tolist(), strict=True):
                 full[p : p + n] = data[begin : begin + n]
                 begin += n
             at += len(parts)
@@ -142,7 +187,7 @@ def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER
             f.write(full.tobytes())
         files.move(own, name)
         ids = pa.array(doc, pa.int64(), mask=null)
-        return pa.table({"doc_id": ids, "seq": seq, "slot": slot, "shard": np.full(len(slot), shard), "offset": place * length, "n_ids": size})
+        return pa.table({"doc_id": ids, "seq": seq, "slot": slot, "shard": np.full(len(slot), shard), "offset": place * stride, "n_ids": size // width})
 
     packed = texts.mapInArrow(send, "shard long, slots binary, sizes binary, docs binary, nulls binary, seqs binary, body binary")
     found = packed.groupBy("shard").applyInArrow(store, ROWS)
@@ -166,4 +211,6 @@ def read(path: str, slot: int = 0, count: int | None = None) -> Iterator[tuple[i
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write(table(spark, sf_dir, "documents").select("doc_id", "text"), new_dir(spark, "shards"))
+    import public_tokenizers
+
+    return write(table(spark, sf_dir, "documents").select("doc_id", "text"), new_dir(spark, "shards"), model=str(public_tokenizers.path("piece_bpe_32k.model")))
