@@ -9,12 +9,18 @@ Method:
    of 0.8 a pair shares none with a probability of 5e-5.
 3. In each bucket the members are compared with the smallest one, which joins most of what belongs together. Comparisons are
    exact, on the texts, and each pair is compared once.
-4. In buckets that still hold several components, signatures are compared in blocks of BLOCK members: a node and another,
-   no smaller component go on when some member's signature is not five standard deviations below the threshold. Pairs of one
-   component need no comparison, since they cannot change a class.
-5. Each such node is compared with that component, whose members are dealt into blocks of BLOCK: exactly, with every member
-   whose signature is not that far below, until one is similar enough. So no link between components is lost, no pair of a
-   block becomes a row, and neither a bucket nor a component meets in one task.
+4. A bucket whose members still lie in several components is dealt into blocks of BLOCK members (or BLOCK_BYTES of text), each
+   member in one block, and the components of a block are linked: a member and one of another component are compared exactly
+   when their signatures are not five standard deviations below the threshold, the most similar first, until the components
+   are one. Members of one component need no comparison, since they cannot change a class. A bucket of one block is done then;
+   the others are dealt once more by another hash.
+5. In buckets of several blocks that still hold several components, each member outside the bucket's largest component meets
+   every block of the bucket in the same way. So each pair of components is compared in full, no pair and no component
+   becomes a row, and neither a bucket nor a component meets in one task. What is left for this step are the few members that
+   resemble hardly any of a thousand others of their bucket.
+
+Two chances to miss a link remain, both set by the parameters: no band shared (5e-5 at 0.8), and a signature five standard
+deviations off (3e-7).
 
 Cases: a text of fewer than SHINGLE words has one shingle, all of it; a null text or one without words is a class of its own
 and not copied by any other; repeated rows are members of one class; a null doc_id counts as larger than all others; an empty
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.bagminhash import signatures, similarity
@@ -37,7 +43,7 @@ from vigil.llm.substring_dedup import LAST, keyed
 from vigil.llm.wordhash import boundaries, hash_runs, hash_words, mix, run_starts
 
 SHINGLE, THRESHOLD, BANDS, DEPTH = 5, 0.8, 25, 5
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -143,33 +149,6 @@ def _least(threshold: float, registers: int) -> float:
     return threshold - 5 * (threshold * (1 - threshold) / registers) ** 0.5
 
 
-def _candidates(rows: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """rows: bucket, one, two (numbers of blocks), side, node, comp, k (the component's size), sig. Returns node, comp: another component, larger or as large, with a member that the node may be similar to."""
-    keys, least = ("bucket", "one", "two"), _least(threshold, registers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys):
-            out: set[tuple[int, int]] = set()
-            node, comp, side, size = (group.column(c).to_numpy() for c in ("node", "comp", "side", "k"))
-            one, two, sig = group.column("one").to_numpy(), group.column("two").to_numpy(), _signatures(group.column("sig"), registers)
-            for lo, hi in _cuts(group, keys):
-                if hi - lo < 2:
-                    continue
-                order = lo + np.lexsort((comp[lo:hi], size[lo:hi]))  # components in order of size, so what follows is no smaller
-                c, s, g, n = comp[order], side[order], sig[order], node[order]
-                same = one[lo] == two[lo]
-                ends = np.append(np.flatnonzero(np.diff(c) != 0) + 1, len(c))
-                upto = ends[np.searchsorted(ends, np.arange(len(c)), side="right")]
-                for i in range(int(upto[-1] - (ends[-1] - (ends[-2] if len(ends) > 1 else 0)))):
-                    j = int(upto[i])
-                    good = ((g[j:] == g[i]).mean(axis=1) >= least) & (same | (s[j:] != s[i]))
-                    out.update((int(n[i]), int(x)) for x in np.unique(c[j:][good]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["node", "comp"])
-
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "side", "node", "comp", "k", "sig").mapInArrow(run, "node long, comp long").distinct()
-
-
 def _counted(owner: np.ndarray, element: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different elements of each of n multisets with their counts, where each multiset starts, and the sizes."""
     order = np.lexsort((element, owner))
@@ -178,63 +157,105 @@ def _counted(owner: np.ndarray, element: np.ndarray, n: int) -> tuple[np.ndarray
     return element[new], np.diff(np.append(new, len(owner))), np.searchsorted(owner[new], np.arange(n + 1)), np.bincount(owner, minlength=n)
 
 
+def _join(group: pa.Table, lo: int, hi: int, least: float, threshold: float, size: int) -> list[tuple[int, int]]:
+    """Links that make one of the components of rows lo..hi that have one. A guest meets every host, and two that are both meet once."""
+    part = group.slice(lo, hi - lo)
+    node, guest, sig = part.column("node").to_numpy(), part.column("guest").to_numpy(), _signatures(part.column("sig"), len(part.column("sig")[0].as_py()))
+    up = np.unique(part.column("comp").to_numpy(), return_inverse=True)[1].astype(np.int64)  # the component that each row is in by now
+    guests, hosts = np.flatnonzero(guest > 0), np.flatnonzero(guest != 1)
+    if not len(guests) or not len(hosts) or up.min() == up.max():
+        return []
+    element, count, start, total = _counted(*shingles(part.column("text").combine_chunks(), size), hi - lo)
+    out = []
+    for a in guests.tolist():
+        some = hosts if guest[a] == 1 else hosts[hosts > a]
+        some = some[up[some] != up[a]]
+        if not len(some):
+            continue
+        near = (sig[some] == sig[a]).mean(axis=1)
+        pick = some[near >= least][np.argsort(-near[near >= least], kind="stable")]
+        own, times = element[start[a] : start[a + 1]], count[start[a] : start[a + 1]]
+        while len(pick):
+            now, pick = pick[:128], pick[128:]
+            sizes = start[now + 1] - start[now]
+            index = np.repeat(start[now] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            place = np.minimum(np.searchsorted(own, element[index]), len(own) - 1)
+            common = np.where(own[place] == element[index], np.minimum(times[place], count[index]), 0)
+            shared = np.bincount(np.repeat(np.arange(len(now)), sizes), common, minlength=len(now))
+            for b in now[shared / np.maximum(total[a] + total[now] - shared, 1) >= threshold].tolist():
+                if up[a] != up[b]:
+                    out.append((int(node[a]), int(node[b])))
+                    up[up == up[b]] = up[a]
+            pick = pick[up[pick] != up[a]]
+    return out
+
+
 def _links(rows: DataFrame, threshold: float, registers: int, size: int) -> DataFrame:
-    """rows: comp, part, guest (1 for a node from elsewhere, 0 for a member), node, sig, text. Returns a, b: one link of each guest that has one in the block."""
-    keys, least = ("comp", "part"), _least(threshold, registers)
+    """rows: bucket, part, guest (0 a host, 1 a guest, 2 both), node, comp, sig, text. Returns links a, b that join components within the parts."""
+    keys, least = ("bucket", "part"), _least(threshold, registers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            out = []
-            node, guest, sig = group.column("node").to_numpy(), group.column("guest").to_numpy(), _signatures(group.column("sig"), registers)
-            for lo, hi in _cuts(group, keys):
-                guests, members = lo + np.flatnonzero(guest[lo:hi] == 1), lo + np.flatnonzero(guest[lo:hi] == 0)
-                if not len(guests) or not len(members):
-                    continue
-                element, count, start, total = _counted(*shingles(group.column("text").slice(lo, hi - lo).combine_chunks(), size), hi - lo)
-                for a in guests.tolist():
-                    near = (sig[members] == sig[a]).mean(axis=1)
-                    pick = members[near >= least][np.argsort(-near[near >= least], kind="stable")]
-                    own, times = element[start[a - lo] : start[a - lo + 1]], count[start[a - lo] : start[a - lo + 1]]
-                    for at in range(0, len(pick), 128):
-                        some = pick[at : at + 128] - lo
-                        sizes = start[some + 1] - start[some]
-                        index = np.repeat(start[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                        place = np.minimum(np.searchsorted(own, element[index]), len(own) - 1)
-                        common = np.where(own[place] == element[index], np.minimum(times[place], count[index]), 0)
-                        shared = np.bincount(np.repeat(np.arange(len(some)), sizes), common, minlength=len(some))
-                        similar = np.flatnonzero(shared / np.maximum(total[a - lo] + total[some] - shared, 1) >= threshold)
-                        if len(similar):
-                            out.append((int(node[a]), int(node[lo + some[similar[0]]])))
-                            break
+            out = [link for lo, hi in _cuts(group, keys) if hi - lo > 1 for link in _join(group, lo, hi, least, threshold, size)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "guest", "node", "sig", "text").mapInArrow(run, "a long, b long")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Each row once for each pair of blocks that its block is in; a bucket of up to BLOCK rows is one block."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    n = F.ceil(F.col("_rows") / BLOCK).cast("int")
-    dealt = rows.join(sizes, "bucket").withColumn("n", n).withColumn("side", F.pmod(F.xxhash64("node", F.lit(9)), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    return dealt.select("*", other).withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-
-
-def _rest(members: DataFrame, roots: DataFrame, named: DataFrame, texts: DataFrame, threshold: float, registers: int, size: int) -> DataFrame:
-    """Links between components of one bucket that the comparison with its smallest member has not shown."""
-    comps = named.select("node", "sig").join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("comp"))
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
-    nodes = materialize(comps.join(sizes, "comp"), "nodes")
-    wide = members.where("k > 2").where("node <> head").select("bucket", "node").join(nodes.select("node", "comp"), "node")
-    several = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = materialize(wide.join(several, "bucket", "left_semi").join(nodes.select("node", "k", "sig"), "node"), "open")
-    found = materialize(_candidates(_blocks(open_rows), threshold, registers), "candidates")
-    asked = found.select("comp").distinct()
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    hosts = nodes.join(asked, "comp", "left_semi").select("comp", F.pmod(F.xxhash64("node", F.lit(9)), parts).cast("int").alias("part"), F.lit(0).alias("guest"), "node", "sig")
-    guests = found.join(sizes, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).join(nodes.select("node", "sig"), "node").select("comp", "part", F.lit(1).alias("guest"), "node", "sig")
-    return _links(hosts.unionByName(guests).join(texts, "node"), threshold, registers, size)
+    return dealt.select(*keys, "guest", "node", "comp", "sig", "text").mapInArrow(run, "a long, b long")
+
+
+def _blocks(rows: str, volume: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(volume) / BLOCK_BYTES)).cast("int")
+
+
+def _dealt(salt: int, n: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+
+
+def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, threshold: float, registers: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """members: bucket, node, of buckets with more than two. nodes: node, sig, text, volume. Returns all links, and the components by them: node, root."""
+
+    def named(roots: DataFrame) -> DataFrame:
+        return members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return materialize(several.select("bucket"), "several")
+
+    def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = materialize(_links(rows.join(nodes.select("node", "sig", "text"), "node"), threshold, registers, size), "more-links")
+        if not more.limit(1).count():
+            return links, roots
+        both = materialize(links.union(more), "all-links")
+        return both, materialize(components(both), "roots")
+
+    roots = materialize(components(links), "roots")
+    for salt in (9, 10):
+        rows = named(roots)
+        several = apart(rows)
+        if not several.limit(1).count():
+            return links, roots
+        open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open")
+        sizes = materialize(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume")).select("bucket", _blocks("rows", "volume").alias("n")).where("n > 1" if salt > 9 else "n > 0"), "sizes")
+        if salt > 9 and not sizes.limit(1).count():
+            return links, roots
+        links, roots = linked(open_rows.select("bucket", "node", "comp").join(sizes, "bucket").select("bucket", _dealt(salt, F.col("n")).alias("part"), F.lit(2).alias("guest"), "node", "comp"))
+        if salt == 9:
+            members = materialize(open_rows.select("bucket", "node").join(sizes.where("n > 1").select("bucket"), "bucket", "left_semi"), "wide")
+    rows = named(roots)
+    several = apart(rows)
+    if not several.limit(1).count():
+        return links, roots
+    open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open")
+    counts = open_rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
+    counts = counts.groupBy("bucket").agg(F.max(F.struct("rows", "comp", "volume")).alias("most"), F.sum("rows").alias("rows"), F.sum("volume").alias("volume"))
+    counts = counts.withColumns({"others": F.col("rows") - F.col("most.rows"), "other_volume": F.col("volume") - F.col("most.volume")})
+    sizes = materialize(counts.select("bucket", F.col("most.comp").alias("main"), _blocks("rows", "volume").alias("n"), _blocks("others", "other_volume").alias("t")), "sizes")
+    both = open_rows.join(sizes, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    hosts = both.select("*", every("t")).select("bucket", (_dealt(11, F.col("n")) * F.col("t") + F.col("other")).alias("part"), F.lit(0).alias("guest"), "node", "comp")
+    guests = both.where("comp <> main").select("*", every("n")).select("bucket", (F.col("other") * F.col("t") + _dealt(12, F.col("t"))).alias("part"), F.lit(1).alias("guest"), "node", "comp")
+    links, roots = linked(hosts.unionByName(guests))
+    return links, roots
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
@@ -243,21 +264,20 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     first = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("node"))
     heads = rows.join(first, ["k1", "k2", "n"]).where("uid = node")
     spread = heads.select("node", F.explode("bands").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # written, so that the join has plain exchanges on both sides, whose large partitions Spark can split
+    sizes = materialize(spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
     members = materialize(spread.join(sizes, "bucket").select("bucket", "node", "head", "k"), "members")
     wanted = members.select("node").distinct()
     named = heads.select("node", "place", "th", "sig").join(wanted, "node")
     named = materialize(named.dropDuplicates(["place", "th"]), "named")
-    texts = materialize(keyed(docs).dropDuplicates(["place", "th"]).join(named.select("node", "place", "th"), ["place", "th"]).select("node", "text"), "texts")
+    texts = keyed(docs).dropDuplicates(["place", "th"]).join(named, ["place", "th"]).select("node", "sig", "text", F.octet_length("text").cast("long").alias("volume"))
+    texts = materialize(texts, "texts")
 
     roots = members.select("node", F.col("node").alias("root")).limit(0)
-    todo = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = materialize(compare(todo, texts, size).where(F.col("j") >= threshold).select("a", "b"), "links")
     if members.limit(1).count():
-        roots = materialize(components(links), "roots")
-        more = materialize(_rest(members, roots, named, texts, threshold, bands * depth, size), "more-links")
-        if more.limit(1).count():
-            roots = materialize(components(links.union(more)), "roots")
+        todo = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+        links = materialize(compare(todo, texts, size).where(F.col("j") >= threshold).select("a", "b"), "links")
+        _, roots = _rest(members.where("k > 2").select("bucket", "node"), links, texts, threshold, bands * depth, size)
     placed = rows.select("doc_id", "place", "th", "uid", "n", "k1", "k2").join(first, ["k1", "k2", "n"], "left").join(roots, "node", "left")
     placed = placed.select("doc_id", "place", "th", "uid", F.coalesce("root", "node", "uid").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size"))
