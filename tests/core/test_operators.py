@@ -47,7 +47,7 @@ def test_closed_windows_and_nearest(spark):
 
 def test_aggregates(spark):
     rows = spark.createDataFrame([(0.1, 10.0), (float("nan"), 30.0), (0.5, 60.0)], "r double, v double")
-    got = rows.agg(A.weighted("r", "v").alias("w"), F.max(A.known("r")).alias("m"), A.by_rule("fan_out", "r").alias("d")).first()
+    got = rows.agg(A.weighted("r", "v").alias("w"), F.max(A.known("r")).alias("m"), F.median(A.known("r")).alias("d")).first()
     assert got.w == pytest.approx(31 / 100) and got.m == 0.5 and got.d == pytest.approx(0.3)
     zero = spark.createDataFrame([(0.2, 0.0), (0.4, 0.0)], "r double, v double")
     assert zero.agg(A.weighted("r", "v").alias("w")).first().w == pytest.approx(0.3)
@@ -101,20 +101,31 @@ def test_statistics_match_plain_forms(spark):
 
 
 def test_drift_states():
-    det = drift.Detector(0.2, 5, 5, 3)
-    rng = np.random.default_rng(1)
-    seen = [det.update(rng.normal(0, 1, 2)) for _ in range(12)]
-    assert all(s[1] == 0 for s in seen)
-    later = [det.update(rng.normal(50, 1, 2))[0] for _ in range(30)]
-    assert "drift" in later and later[0] in ("normal", "drift")
+    sizes, rng = (5, 5, 3), np.random.default_rng(1)
+    calm, moved = rng.normal(0, 1, (12, 2)), rng.normal(50, 1, (30, 2))
+    series = np.concatenate([calm, moved])
+    regime, distance, _ = drift.advance(drift.Watch.new(2), series, 0.2, *sizes)
+    assert regime[:12] == ["normal"] * 12 and (distance[:5] == 0).all() and "drift" in regime[12:]
+    feel = drift.kernel(2, drift.width(series[:5]))
+    onset = regime.index("drift")
+    assert distance[onset] == pytest.approx(drift.mmd2(series[:5], series[onset - 4 : onset + 1], *feel)) and distance[onset] >= 0.2
+    assert distance[onset + 2] == pytest.approx(drift.mmd2(series[:5], series[onset : onset + 3], *feel))  # the rows since the onset
+    back = np.concatenate([calm, moved[:2], calm])
+    regime, _, _ = drift.advance(drift.Watch.new(2), back, 0.2, *sizes)
+    assert regime.count("recalibrate") == 1
+    at = regime.index("recalibrate")
+    assert all(r == "normal" for r in regime[at + 1 : at + 4])
+    gaps = np.where(rng.random(series.shape) < 0.1, np.nan, series)
+    whole = drift.advance(drift.Watch.new(2), gaps, 0.3, *sizes)
+    watch, told = drift.Watch.new(2), []
+    for lo, hi in ((0, 3), (3, 3), (3, 17), (17, 42)):
+        some, _, watch = drift.advance(watch, gaps[lo:hi], 0.3, *sizes)
+        told += some
+    assert told == whole[0] and (watch.seen, watch.age) == (whole[2].seen, whole[2].age)
     assert drift.mmd2(np.ones((3, 2)), np.ones((3, 2)), *drift.kernel(2, 1.0)) == pytest.approx(0)
     with pytest.raises(ValueError):
         drift.calibrate([np.zeros((3, 2))], 5, 5)
     assert drift.calibrate([rng.normal(size=(30, 2))], 5, 5) > 0
-    copy = drift.Detector(0.2, 5, 5, 3).restore(det.state(), 2)
-    more = rng.normal(size=(9, 2))
-    a, b = [det.update(r)[0] for r in more], [copy.update(r)[0] for r in more]
-    assert a == b
 
 
 def test_dumps_and_sinks(spark, tmp_path):

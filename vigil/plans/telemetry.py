@@ -16,7 +16,7 @@ T0 = 1704067200.0  # 2024-01-01
 
 @query(f"WITH {SAMPLES} SELECT service, max(value) AS peak FROM samples GROUP BY ALL")
 def metric_max_over_pods(spark, d):
-    return samples(spark, d).groupBy("service").agg(A.by_rule("cpu_util", "value").alias("peak"))
+    return samples(spark, d).groupBy("service").agg(F.max(A.known("value")).alias("peak"))
 
 
 @query(f"WITH {SAMPLES}, p AS (SELECT service, pod, avg(value) AS used, max(limit_value) AS limit_value FROM samples GROUP BY ALL) SELECT service, round(max(CASE WHEN limit_value > 0 THEN used / limit_value END), 6) AS util FROM p GROUP BY ALL")
@@ -43,7 +43,7 @@ def metric_p99_union(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT service, round(median(value), 6) AS mid FROM samples GROUP BY ALL")
 def metric_median(spark, d):
-    return samples(spark, d).groupBy("service").agg(F.round(A.by_rule("fan_out", "value"), 6).alias("mid"))
+    return samples(spark, d).groupBy("service").agg(F.round(F.median(A.known("value")), 6).alias("mid"))
 
 
 @query(f"""WITH {SAMPLES}, le AS (SELECT unnest([5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]) AS le), c AS (SELECT service, le, count(*) FILTER (WHERE value <= le) AS cum FROM samples, le GROUP BY ALL),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from vigil.operators.drift import Detector
+from vigil.operators.drift import Watch, advance
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OWN: list[str] = []
@@ -61,38 +61,42 @@ def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
+DRIFT_ROWS = "user_id long, event_id long, regime string, flag int, mmd2 double"
+
+
+def _told(key: int, frame: pd.DataFrame, watch: Watch, epsilon: float, sizes: tuple[int, int, int]) -> tuple[pd.DataFrame, Watch]:
+    frame = frame.sort_values(["at", "event_id"])
+    regime, distance, watch = advance(watch, frame[["value"]].to_numpy(float), epsilon, *sizes)
+    flag = np.array([r == "drift" for r in regime], "int32")
+    return pd.DataFrame({"user_id": np.full(len(frame), key), "event_id": frame["event_id"].to_numpy(), "regime": regime, "flag": flag, "mmd2": np.round(distance, 6)}), watch
+
+
 class DriftProcessor(StatefulProcessor):
-    """The drift detector of one key; its windows are the state. Rows of a batch are taken in order of time."""
+    """The drift of one key's series. Rows of a batch are taken in order of time."""
 
     def __init__(self, epsilon: float, sizes: tuple[int, int, int] = (5, 5, 3)):
         self.epsilon, self.sizes = epsilon, sizes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.windows = handle.getValueState("windows", "ref array<double>, cur array<double>, post array<double>, pending array<double>")
+        self.watch = handle.getValueState("watch", "ref array<double>, tail array<double>, seen long, age long")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        detector = Detector(self.epsilon, *self.sizes)
-        if self.windows.exists():
-            detector.restore(list(self.windows.get()), 1)
-        found = [detector.update([v]) for v in frame["value"]]
-        self.windows.update(tuple(detector.state()))
-        yield pd.DataFrame({"user_id": np.full(len(frame), key[0]), "event_id": frame["event_id"].to_numpy(), "regime": [f[0] for f in found], "flag": np.array([f[1] for f in found], "int32"), "mmd2": np.round([f[2] for f in found], 6)})
+        watch = Watch.new(1)
+        if self.watch.exists():
+            ref, tail, seen, age = self.watch.get()
+            watch = Watch(np.array(ref, float).reshape(-1, 1), np.array(tail, float).reshape(-1, 1), seen, age)
+        found, watch = _told(key[0], pd.concat(list(rows)), watch, self.epsilon, self.sizes)
+        self.watch.update((watch.ref.ravel().tolist(), watch.tail.ravel().tolist(), watch.seen, watch.age))
+        yield found
 
     def close(self) -> None:
         pass
 
 
-DRIFT_ROWS = "user_id long, event_id long, regime string, flag int, mmd2 double"
-
-
 def drift_batch(rows: DataFrame, epsilon: float, sizes: tuple[int, int, int] = (5, 5, 3)) -> DataFrame:
     """The same in one pass over each key's rows."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "event_id"])
-        detector = Detector(epsilon, *sizes)
-        found = [detector.update([v]) for v in frame["value"]]
-        return pd.DataFrame({"user_id": frame["user_id"].to_numpy(), "event_id": frame["event_id"].to_numpy(), "regime": [f[0] for f in found], "flag": np.array([f[1] for f in found], "int32"), "mmd2": np.round([f[2] for f in found], 6)})
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _told(key[0], frame, Watch.new(1), epsilon, sizes)[0]
 
     return rows.groupBy("user_id").applyInPandas(one, DRIFT_ROWS)
