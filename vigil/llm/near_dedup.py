@@ -280,7 +280,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
         _, roots = _rest(members.where("k > 2").select("bucket", "node"), links, texts, threshold, bands * depth, size)
     placed = rows.select("doc_id", "place", "th", "uid", "n", "k1", "k2").join(first, ["k1", "k2", "n"], "left").join(roots, "node", "left")
     placed = placed.select("doc_id", "place", "th", "uid", F.coalesce("root", "node", "uid").alias("root"))
-    best = placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    best = materialize(placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size")), "classes")
     return placed.join(best, "root").select("doc_id", "place", "th", "uid", "root", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("best.doc_id").alias("class_id"), "class_size")
 
 
