@@ -16,8 +16,8 @@ def test_ids(spark, tmp_path):
     got = to.write(spark.read.parquet(source), path, length=32, per_shard=50, key=5, model=MODEL).collect()
     body, found = dict(to.read(path)), {}
     for r in sorted((r for r in got if r.slot is not None), key=lambda r: (r.doc_id, r.seq)):
-        assert r.shard == r.slot // 50 and r.offset == r.slot % 50 * 64 and len(body[r.slot]) == 64
-        found.setdefault(r.doc_id, []).extend(np.frombuffer(body[r.slot][: 2 * r.n_ids], "<u2").tolist())
+        assert r.shard == r.slot // 50 and r.offset // 64 == r.slot % 50 and len(body[r.slot]) == 64
+        found.setdefault(r.doc_id, []).extend(np.frombuffer(body[r.slot][r.offset % 64 :][: 2 * r.n_ids], "<u2").tolist())
     pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert found == {i: ids for i, t in rows if (ids := pieces.encode(t or ""))}
     assert {r.doc_id for r in got if r.slot is None} == {i for i, t in rows if not pieces.encode(t or "")}

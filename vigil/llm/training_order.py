@@ -1,29 +1,30 @@
 """Training order, written as fixed-stride shards of token ids.
 
-Method: every document is cut into sequences of `length` ids. A sequence's number is the count of those before it; a keyed
-Feistel permutation of the least domain of 4^k that holds all numbers, walked along its cycle until it falls below their
-count, gives its global slot. Shard k holds the slots from k * per_shard on, `stride` bytes each, padded with zeros, so a
-reader finds slot s at byte (s mod per_shard) * stride of its shard, reads on in order, and resumes anywhere.
-
-Sequences are numbered without a sort or a shuffle: the partitions of the scan are counted (one row each comes to the
-driver), and each goes on from the sum of those before it. A scan of unchanged files has the same partitions each time; a
-task that counts otherwise than before stops the run. What a batch sends to one shard travels as one compressed row. The
-permutation spreads every document over all shards, so none is larger than another. A shard is written by one task under a
-name of that attempt and then renamed, so a repeated attempt leaves the same file.
+Method: each partition of the documents is one stream of ids, its documents one after another, cut into sequences of `length`
+ids; so only the last sequence of a partition is padded. A sequence's number is the count of those of the partitions before
+it, plus its place; a keyed Feistel permutation of the least domain of 4^k that holds all numbers, walked along its cycle
+until it falls below their count, gives its global slot. Shard k holds the slots from k * per_shard on, `stride` bytes each,
+so a reader finds slot s at byte (s mod per_shard) * stride of its shard, reads on in order, and resumes anywhere.
+
+Texts are encoded once: the ids are stored as Parquet, each row with its partition and its place in the stream, so what is
+read back may be dealt in any way and executors may be lost. One row a partition (its ids) comes to the driver. What a batch
+sends to one shard travels as one compressed row; ranges of neighbouring shards are the partitions that write them, each with
+whole shards in order, one in memory at a time. The permutation spreads every document over all shards, so none is larger
+than another. An attempt writes a shard under its own name in a folder of attempts and then renames it; the folder goes at
+the end, and the manifest is written last, so a folder with a manifest is complete.
 
 The query's ids are those of a public sentencepiece vocabulary, two bytes each (little-endian), the same as the library's.
-Texts are encoded once: the ids are stored as Parquet, their partitions are counted, and the sequences are cut from them.
 Each distinct pre-token of a partition is encoded once. Without a vocabulary, write() takes the bytes of UTF-8 as ids.
 
-Cases: a null or empty text has no sequence and gives one row without a slot; very long texts have many sequences; repeated
-rows are documents of their own; an empty table gives no rows and no shard; other columns are not read.
+Cases: a null or empty text has no ids and gives one row without a slot; very long texts lie in many sequences, and short ones
+share one; repeated rows are documents of their own; an empty table gives no rows and no shard; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from vigil.llm.wordhash import mix
 LENGTH, PER_SHARD, KEY = 512, 16_384, 20_240_229
 _ROUNDS = 6
 ROWS = "doc_id long, seq long, slot long, shard long, offset long, n_ids long"
+#: Tasks that write shards, at most; each has a range of them.
+WRITERS = 20_000
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -96,103 +99,125 @@ class PieceIds(PieceCounter):
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and text, which is the ids, two bytes each."""
+def utf8(texts: list[str]) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
+
+
+def encode(docs: DataFrame, coder: Callable[[], Callable[[list[str]], list[bytes]]], width: int) -> DataFrame:
+    """doc_id, part (the number of the task), first (where the document's ids begin in the task's stream), n (how many) and ids. docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceIds(model)
-        for part, texts in python_chunks(batches, 2 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pieces.encode(texts), pa.binary())], ["doc_id", "text"])
+        code, part, at = coder(), TaskContext.get().partitionId(), 0
+        for rows, texts in python_chunks(batches, 2 << 20):
+            ids = code(texts)
+            n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
+            ends = at + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(n), part)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "first", "n", "ids"])
+            at = int(ends[-1])
+
+    return docs.mapInArrow(run, "doc_id long, part long, first long, n long, ids binary")
 
-    return docs.mapInArrow(run, "doc_id long, text binary")
 
+def _pressed(codec: pa.Codec, data) -> bytes:
+    """Compressed, behind the size that it had."""
+    return len(data).to_bytes(8, "little") + codec.compress(data, asbytes=True)
 
-def _counts(texts: DataFrame, length: int) -> dict[int, int]:
-    """Sequences of each partition of the scan, of `length` bytes."""
-    n = F.ceil(F.octet_length("text") / length).cast("long")
-    return {r.part: r.n for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(n).alias("n")).collect()}
+
+def _plain(codec: pa.Codec, data: bytes) -> pa.Buffer:
+    return codec.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"))
+
+
+def _pieces(rows: pa.RecordBatch, length: int, begins: dict[int, int], total: int, key: int) -> tuple[np.ndarray, ...]:
+    """Of rows (doc_id, part, first, n, ids) the parts that lie in one sequence: row, number in the row, slot, place in the sequence, place in the row, ids."""
+    part, first, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+    low, high = first // length, (first + n - 1) // length
+    count = np.where(n > 0, high - low + 1, 0)
+    row = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    seq = low[row] + k
+    start, end = np.maximum(first[row], seq * length), np.minimum((first + n)[row], (seq + 1) * length)
+    base = np.array([begins[p] for p in part.tolist()], np.int64)
+    return row, k, feistel(base[row] + seq, total, key), start - seq * length, start - first[row], end - start
 
 
 def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, model: str | None = None) -> DataFrame:
-    """Write the shards and manifest.json below path when the result is computed: one row for each sequence, with its slot, shard and byte offset. docs: a scan of files, or rows of one. model: the vocabulary of the ids; without one they are bytes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    width = 1
-    if model:
-        texts, width = materialize(encode(texts, model), "ids"), 2
+    """Write the shards, and last manifest.json, below path. Returns one row for each part of a document in one sequence: doc_id, seq (the part's number), the sequence's slot, shard, offset (the part's first byte in the shard) and n_ids. model: the vocabulary of the ids; without one they are bytes."""
+    spark, width = docs.sparkSession, 2 if model else 1
     stride = length * width
-    counts = _counts(texts, stride)
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part] = total
-        total += counts[part]
-    if total:
-        files, root = _file_system(path)
-        files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/manifest.json") as f:
-            f.write(json.dumps({"length": length, "stride": stride, "width": width, "per_shard": per_shard, "total": total, "key": key}).encode())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    coded = encode(texts, (lambda: PieceIds(model).encode) if model else lambda: utf8, width)
+    stored = new_dir(spark, "ids")
+    coded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(stored)
+    ids = spark.read.schema(coded.schema).parquet(stored)
+    begins, total = {}, 0
+    for r in sorted(ids.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.part):
+        begins[r.part] = total
+        total += -(-r.n // length)
+    none = [F.lit(None).cast("long").alias(c) for c in ("seq", "slot", "shard", "offset")]
+    empty = ids.where("n = 0").select("doc_id", *none, F.lit(0).cast("long").alias("n_ids"))
+    if not total:
+        return empty
+    files, root = _file_system(path)
+    files.create_dir(f"{root}/attempts", recursive=True)
+    shards = -(-total // per_shard)
+    span = -(-shards // WRITERS)  # shards of a writer
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at = first.get(part, 0)
-        for rows in chunks(batches, "text", 8 << 20):
-            data, offsets = text_buffers(rows.column(1))
-            n = -(-np.diff(offsets) // stride)
-            doc = np.repeat(np.arange(len(n)), n)
-            seq = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            start = offsets[:-1][doc] + seq * stride
-            size = np.minimum(stride, offsets[1:][doc] - start)
-            slot = feistel(np.arange(at, at + len(doc)), total, key)
-            at += len(doc)
+        codec = pa.Codec("zstd", compression_level=3)
+        for rows in chunks(batches, "ids", 8 << 20):
+            row, k, slot, place, at, n = _pieces(rows, length, begins, total, key)
+            data, offsets = text_buffers(rows.column(4))
+            raw, doc = memoryview(data), rows.column(0)
             order = np.argsort(slot, kind="stable")
-            ids = rows.column(0).to_numpy(zero_copy_only=False) if not rows.column(0).null_count else np.array([-1 if v is None else v for v in rows.column(0).to_pylist()])
-            null = np.array(rows.column(0).is_null())
+            low, size = (offsets[:-1][row] + at * width)[order], (n * width)[order]
             shard = slot[order] // per_shard
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            out: dict[str, list] = {"shard": [], "slots": [], "sizes": [], "docs": [], "nulls": [], "seqs": [], "body": []}
-            codec = pa.Codec("zstd", compression_level=1)
-            raw = memoryview(data)
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+            cuts = (np.flatnonzero(np.diff(shard)) + 1).tolist()
+            out: list[tuple[int, bytes, bytes]] = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(order)], strict=True):
                 if lo == hi:
                     continue
                 pick = order[lo:hi]
-                out["shard"].append(int(shard[lo]))
-                out["slots"].append(slot[pick].astype("<i8").tobytes())
-                out["sizes"].append(size[pick].astype("<i8").tobytes())
-                out["docs"].append(ids[doc[pick]].astype("<i8").tobytes())
-                out["nulls"].append(null[doc[pick]].tobytes())
-                out["seqs"].append(seq[pick].astype("<i8").tobytes())
-                out["body"].append(codec.compress(b"".join([raw[a : a + b] for a, b in zip(start[pick].tolist(), size[pick].tolist(), strict=True)]), asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:])], list(out))
-        if at - first.get(part, 0) != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} has other sequences than when it was counted")
-
-    def store(rows: pa.Table) -> pa.Table:
+                about = pa.RecordBatch.from_arrays([doc.take(pa.array(row[pick])), *(pa.array(x[pick]) for x in (k, slot, place, n))], ["doc_id", "seq", "slot", "place", "n_ids"])
+                body = b"".join([raw[a : a + b] for a, b in zip(low[lo:hi].tolist(), size[lo:hi].tolist(), strict=True)])
+                out.append((int(shard[lo]), _pressed(codec, about.serialize()), _pressed(codec, body)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["shard", "about", "body"])
+
+    about_schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "seq", "slot", "place", "n_ids")])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of shards: fill one shard, and write it when the next begins."""
         files, root = _file_system(path)
-        shard = rows.column("shard")[0].as_py()
-        slot, size, doc, seq = (np.frombuffer(b"".join(rows.column(k).to_pylist()), "<i8") for k in ("slots", "sizes", "docs", "seqs"))
-        null = np.frombuffer(b"".join(rows.column("nulls").to_pylist()), bool)
-        place = slot - shard * per_shard
-        full = np.zeros(min(per_shard, total - shard * per_shard) * stride, np.uint8)
-        codec, at = pa.Codec("zstd"), 0
-        for body, sizes in zip(rows.column("body").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
-            parts = np.frombuffer(sizes, "<i8")
-            data = np.frombuffer(codec.decompress(body, decompressed_size=int(parts.sum()), asbytes=True), np.uint8)
-            begin = 0
-            for p, n in zip((place[at : at + len(parts)] * stride).tolist(), parts.tolist(), strict=True):
-                full[p : p + n] = data[begin : begin + n]
-                begin += n
-            at += len(parts)
-        name, own = _shard_name(root, shard), f"{root}/.{uuid.uuid4().hex}"
-        with files.open_output_stream(own) as f:
-            f.write(full.tobytes())
-        files.move(own, name)
-        ids = pa.array(doc, pa.int64(), mask=null)
-        return pa.table({"doc_id": ids, "seq": seq, "slot": slot, "shard": np.full(len(slot), shard), "offset": place * stride, "n_ids": size // width})
-
-    packed = texts.mapInArrow(send, "shard long, slots binary, sizes binary, docs binary, nulls binary, seqs binary, body binary")
-    found = packed.groupBy("shard").applyInArrow(store, ROWS)
-    none = [F.lit(None).cast("long").alias(c) for c in ("seq", "slot", "shard", "offset")]
-    return found.unionByName(texts.where(F.octet_length("text") == 0).select("doc_id", *none, F.lit(0).cast("long").alias("n_ids")))
+        codec, now, full = pa.Codec("zstd"), -1, np.zeros(0, np.uint8)
+
+        def close() -> None:
+            if now >= 0:
+                own = f"{root}/attempts/{uuid.uuid4().hex}"
+                with files.open_output_stream(own) as f:
+                    f.write(memoryview(full))
+                files.move(own, _shard_name(root, now))
+
+        for batch in batches:
+            for shard, about, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != now:
+                    close()
+                    now, full = shard, np.zeros(min(per_shard, total - shard * per_shard) * stride, np.uint8)
+                rows = pa.ipc.read_record_batch(_plain(codec, about), about_schema)
+                data = np.frombuffer(_plain(codec, body), np.uint8)
+                slot, place, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
+                at, begin = (slot - shard * per_shard) * stride + place * width, 0
+                for p, x in zip(at.tolist(), (n * width).tolist(), strict=True):
+                    full[p : p + x] = data[begin : begin + x]
+                    begin += x
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(len(at), shard)), pa.array(at), rows.column(4)], ["doc_id", "seq", "slot", "shard", "offset", "n_ids"])
+        close()
+
+    packed = ids.where("n > 0").mapInArrow(send, "shard long, about binary, body binary")
+    ranges = packed.repartitionById(-(-shards // span), F.floor(F.col("shard") / span).cast("int")).sortWithinPartitions("shard")
+    index = materialize(ranges.mapInArrow(store, ROWS), "index")
+    files.delete_dir(f"{root}/attempts")
+    with files.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps({"length": length, "stride": stride, "width": width, "per_shard": per_shard, "total": total, "key": key}).encode())
+    return index.unionByName(empty)
 
 
 def read(path: str, slot: int = 0, count: int | None = None) -> Iterator[tuple[int, bytes]]:
