@@ -5,11 +5,12 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from vigil.llm.bpe import WordBPE, digests  # noqa: E402
-from vigil.llm.token_counts import PieceCounter, token_counts  # noqa: E402
+from vigil.llm.token_counts import PieceCounter, token_counts, vocabulary  # noqa: E402
 
 ODD = [
     "", " ", "  \n ", "a", "Á é", "ΑΣ ΣΑΣ", "İstanbul ẞ", "it's don't WE'LL 'sabc !'s", "12 3a4 ½ ²", "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|> <|endoftext|",
@@ -36,14 +37,17 @@ def test_bpe_is_the_librarys():
             assert own.decode(ids) == decoded
 
 
-def test_counts_are_the_librarys():
+@pytest.mark.parametrize("hot", [10**6, 50, 0])
+def test_counts_are_the_librarys(spark, hot):
     import sentencepiece
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    own, library = PieceCounter(path, entries=3000), sentencepiece.SentencePieceProcessor(model_file=path)
-    for start in range(0, len(texts()), 40):
-        part = texts()[start : start + 40]
-        assert own.count(part) == [len(library.encode(t)) for t in part]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = list(enumerate(texts()))
+    found = token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).repartition(5), path, hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in found} == {i: (len(t.encode()), len(library.encode(t))) for i, t in rows} and len(found) == len(rows)
+    words = {w for _, t in rows for w in PieceCounter.split(t)}
+    assert vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), path).count() == len(words)
 
 
 def test_nulls_repeats_and_empty_tables(spark):
@@ -55,4 +59,5 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert {r.ids_sha256 for r in found if not r.n_tokens} == {empty}
     counted = token_counts(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).collect()
     assert sorted((r.n_bytes, r.n_tokens) for r in counted) == [(0, 0), (0, 0), (7, 2), (7, 2)]
+    assert token_counts(docs.limit(0), str(public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
     assert digests(docs.limit(0), str(public_tokenizers.path("word_bpe_49k.json"))).count() == 0

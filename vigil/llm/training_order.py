@@ -41,6 +41,8 @@ _ROUNDS = 6
 ROWS = "doc_id long, seq long, slot long, shard long, offset long, n_ids long"
 #: Tasks that write shards, at most; each has a range of them.
 WRITERS = 20_000
+#: Entries of a task's table of ids, about 120 bytes each.
+CACHE_ENTRIES = 700_000
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -74,8 +76,9 @@ def _shard_name(root: str, shard: int) -> str:
 class PieceIds(PieceCounter):
     """Ids of texts, put together from those of their pre-tokens."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, entries: int = CACHE_ENTRIES):
         super().__init__(model)
+        self.entries = entries
         if self.pieces.get_piece_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit into two bytes")
         self.ids: dict[str, bytes] = {}
