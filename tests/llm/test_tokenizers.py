@@ -37,6 +37,19 @@ def test_bpe_is_the_librarys():
             assert own.decode(ids) == decoded
 
 
+def test_bpe_reads_every_code_point_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    own, library = WordBPE(path), Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 1 << 14):
+        part = [" ".join(f"a{chr(c)}B {chr(c)}1" for c in points[k : k + 64]) for k in range(start, min(start + (1 << 14), len(points)), 64)]
+        want = library.encode_batch(part, add_special_tokens=False)
+        for text, (ids, _), w in zip(part, own.encode(part), want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids, [hex(ord(x)) for x in text]
+
+
 @pytest.mark.parametrize("hot", [10**6, 50, 0])
 def test_counts_are_the_librarys(spark, hot):
     import sentencepiece

@@ -1,6 +1,8 @@
 """Byte-pair encoding and decoding by an index of pair occurrences.
 
-Method: the distinct words of a chunk of a partition are laid out as one array of symbols. An index maps each pair that
+Method: texts are split at white space; words with characters beyond ASCII are normalised and cut by the tokenizer file's own
+normaliser and pre-tokeniser, so that every code point is read as the library reads it, and ASCII words by the same rules
+here. The distinct words of a chunk of a partition are laid out as one array of symbols. An index maps each pair that
 has a rank to all its positions in the chunk. Active ranks are taken in ascending order from a heap: all occurrences of
 the pair are merged at once, and the lists of the pairs that this makes are updated (positions that no longer hold their
 pair are passed over when their turn comes). A word's ids and decoded tokens are kept for later chunks of the partition in
@@ -16,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,7 +136,10 @@ class WordBPE:
 
     def __init__(self, path: str, entries: int = CACHE_WORDS):
         import regex
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -146,6 +150,7 @@ class WordBPE:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.index = PairIndex([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + end] for s in symbols], np.int64)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -155,7 +160,7 @@ class WordBPE:
         self.entries = entries
 
     def split(self, text: str) -> list[str]:
-        """Words between white space, in lower case; special strings whole, with a space before them that no word has (a text may also hold one in upper case, which is a plain word)."""
+        """Words between white space, those of ASCII in lower case; special strings whole, with a space before them that no word has (a text may also hold one in upper case, which is a plain word)."""
         if self.cut and "<|" in text:
             out = []
             for k, piece in enumerate(self.cut.split(text)):
@@ -164,17 +169,23 @@ class WordBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
-        if _ODD.search(text):
-            return [w for w in _SPACES.split(text) if w]
-        return text.split()
+        if text.isascii():
+            text = text.lower()
+            return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
+        words = [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
+        return [w.lower() if w.isascii() else w for w in words]
+
+    def _cut(self, word: str) -> list[bytes]:
+        """The pre-tokens of a word, as bytes."""
+        if word.isascii():
+            return [p.encode() for p in self.parts.findall(word)]
+        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
 
     def learn(self, new: list[str]) -> None:
         """Encode words that are not in the table yet."""
         words = [w for w in new if w[0] != " "]
-        parts = [self.parts.findall(w) for w in words]
-        flat = [p.encode("utf-8", "surrogatepass") for ps in parts for p in ps]
+        parts = [self._cut(w) for w in words]
+        flat = [p for ps in parts for p in ps]
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
         starts = np.concatenate([[0], np.cumsum(sizes)])
         symbols = self.inner[np.frombuffer(b"".join(flat), np.uint8)]
