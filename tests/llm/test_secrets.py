@@ -1,9 +1,14 @@
 """The spans against plain regular expressions, and the Markov models on held-out strings."""
 
+import math
+import random
 import re
 import secrets as random_source
+import time
+from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from vigil.llm import secrets
 
@@ -46,3 +51,54 @@ def test_random_strings_are_found_and_words_are_not(spark):
     found = {r.doc_id: r.added for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
     assert sum(bool(found[i]) for i in range(300)) >= 285
     assert not any(found[300 + i] for i in range(len(words)))
+
+
+def plain_added(text, base, ratios):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        mean = sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(m[0], m[0][1:])) / (len(m[0]) - 1)
+        if mean > secrets.THRESHOLD and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_added_spans_are_those_of_a_plain_version(spark, monkeypatch):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text").withColumn("base", F.lit("clash")).withColumn("h", F.lit(1))
+    strings = {}
+    for name, made in (("random", secrets.random_strings(spark)), ("ordinary", secrets.ordinary_strings(docs))):
+        strings[name] = Counter(a + b for r in made.collect() for a, b in zip(r.s, r.s[1:]) if re.fullmatch("[A-Za-z0-9+/_=-]{2}", a + b))
+    ratios, letters = secrets.log_ratios(docs), [c for c in map(chr, range(128)) if re.match("[A-Za-z0-9+/_=-]", c)]
+    assert len(letters) == 67
+    for a in letters[::5]:
+        total = [sum(strings[k][a + b] for b in letters) + 0.5 * 67 for k in ("random", "ordinary")]
+        for b in letters:
+            want = math.log((strings["random"][a + b] + 0.5) / total[0] / ((strings["ordinary"][a + b] + 0.5) / total[1]))
+            assert abs(ratios[128 * ord(a) + ord(b)] - want) < 1e-9
+    rng = random.Random(4)
+    mixed = " ".join(rng.choice(["token=" + "".join(rng.choices("abcdef01", k=40)), "".join(rng.choices("aQ3kZ9xW+/", k=24)), "plain_words_in_an_identifier", "ff" * 17]) for _ in range(700))
+    texts = [r.text for r in docs.collect()] + CASES + [mixed, mixed, "Zq9/x7" * 200]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pairs in (secrets.PAIRS, 0):
+        monkeypatch.setattr(secrets, "PAIRS", pairs)
+        for r in secrets.find(given, ratios).collect():
+            base = [(s.start, s.rank, s.stop, s.kind) for s in r.base]
+            assert base == plain(texts[r.doc_id])
+            assert [(s.start, s.stop) for s in r.added] == plain_added(texts[r.doc_id], base, ratios), texts[r.doc_id][:200]
+
+
+def test_long_runs_and_many_matches_take_seconds(spark):
+    run = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    texts = [run, "0123456789abcdef" * 2 + " ", (("0123456789abcdef" * 2 + " ") * 100_000)]
+    began = time.time()
+    ratios = [1.0] * 128 * 128
+    got = {r.doc_id: (r.b, r.a, r.last) for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).selectExpr("doc_id", "size(base) AS b", "size(added) AS a", "get(base, size(base) - 1).stop AS last").collect()}
+    assert got == {0: (0, 1, None), 1: (1, 0, 32), 2: (100_000, 0, 33 * 100_000 - 1)}
+    assert time.time() - began < 60
+
+
+def test_copies_of_a_text_are_learnt_from_once(spark):
+    rows = [("one standardised sentence",)] * 2000 + [(f"particular{chr(97 + k % 26)}{chr(97 + k // 26)} expression",) for k in range(300)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert secrets.ordinary_strings(docs).count() == secrets.ordinary_strings(docs.distinct()).count() == 303
+    assert secrets.transitions(secrets.ordinary_strings(docs.limit(0))).count() == 0 and len(secrets.log_ratios(docs.limit(0))) == 128 * 128

@@ -1,12 +1,15 @@
 """Secrets: three exact patterns, and character Markov models of random strings against ordinary ones.
 
-Method, in DataFrame and SQL functions only. The patterns give the base spans; a text is split at a pattern's matches, and the
-lengths of the pieces and of the matches give the places. Beside them, each run of 20 or more characters of
-`[A-Za-z0-9+/_=-]` is scored by the log-likelihood ratio of two first-order Markov models, per transition. Both are trained
+Method, in DataFrame and SQL functions only. The patterns give the base spans; a text is split at a pattern's matches, and
+running sums of the lengths of the pieces and of the matches give the places. Beside them, each run of 20 or more characters
+of `[A-Za-z0-9+/_=-]` is scored by the log-likelihood ratio of two first-order Markov models, per transition. Both are trained
 from labelled samples: random strings (made from hashes of a counter, in hexadecimal, base 64 and letters with digits) and
-ordinary ones (words of the corpus of eight or more letters, and identifiers joined from such words). The samples are
-bounded: SAMPLE strings of either label. A run counts as a secret when the ratio per transition is above THRESHOLD and no
-base span meets it.
+ordinary ones (words of eight or more letters, and identifiers joined from such words). The samples are bounded by two
+parameters: SAMPLE strings of either label, the ordinary ones from TEXTS different texts, those with the smallest hashes. A
+run counts as a secret when the ratio per transition is above THRESHOLD and no base span meets it.
+
+A text costs time in proportion to its length and its matches (but for sorting them): sums run in blocks, a run's characters
+are folded one after another, and whether a run meets a base span is told by counts of starts and stops.
 
 Cases: a null text is empty and has no spans; very long texts are read whole; repeated rows give repeated results; an empty
 table gives no rows (the ordinary model then holds its prior alone); other columns are not read.
@@ -14,13 +17,17 @@ table gives no rows (the ordinary model then holds its prior alone); other colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import table, whole_text
 
-#: Strings of either label to train from, characters of a run that is scored, and the ratio per transition.
-SAMPLE, RUN, THRESHOLD = 20_000, 20, 0.6
+#: Strings of either label to train from, texts that the ordinary ones come from, characters of a run that is scored, and the ratio per transition.
+SAMPLE, TEXTS, RUN, THRESHOLD = 20_000, 1_000, 20, 0.6
+#: Values whose sums are run at once, and pairs of a run and a base span that are compared one by one.
+BLOCK, PAIRS = 256, 4096
 
 # The patterns are fixed values. Letters of the key words are in either case, in ASCII alone.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -30,26 +37,55 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
 KINDS = ("assign", "access", "hex", "random")
 
 
+_SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,body:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """The sums of an array of int up to each place. Sums run inside blocks of BLOCK and then over the blocks, since adding to an array copies it."""
+    none = F.array().cast("array<int>")
+
+    def sums(block: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")), lambda acc: acc["out"])
+
+    def joined_up(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda b, k: let(F.coalesce(F.get(e, k - 1), F.lit(0)), lambda low: F.transform(b, lambda x: x + low)))))
+
+    def cut(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: sums(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(v) == 0, none).when(F.size(v) <= BLOCK, sums(v)).otherwise(let(blocks, joined_up))
+
+    return let(values, cut)
+
+
 def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """The matches of a pattern as an array of (start, rank, stop, kind, body), in code points; body is the group's text.
 
     The pieces between matches come from split(), which is as long as the matches and one more. The pattern must not match
     the empty string.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    body = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rank = KINDS.index(kind)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string,body:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), x["b"].alias("body"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+    def found(whole: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        stops = running(F.zip_with(gaps, whole, lambda gap, m: F.length(gap) + F.length(m)))
+        body = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
 
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("m"), body.alias("b"))
-    none = zero["out"]
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+        def made(at: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                stop = F.get(at["stops"], i)
+                return F.struct((stop - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), F.get(at["body"], i).alias("body"))
+
+            return F.transform(whole, one)
+
+        return let(F.struct(stops.alias("stops"), body.alias("body")), made)
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)).otherwise(F.array().cast(_SPANS))
 
 
 def random_strings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
@@ -60,9 +96,11 @@ def random_strings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     return ids.select(F.when(F.col("id") % 3 == 0, F.substring(hexed, 1, 40)).when(F.col("id") % 3 == 1, based).otherwise(F.regexp_replace(based, "[+/=]", "")).alias("s"))
 
 
-def ordinary_strings(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """Labelled ordinary strings: words of eight or more letters with the smallest hashes among those of the rows with the smallest hashes, alone and joined as identifiers are."""
-    sample = docs.select(whole_text().alias("text")).orderBy(F.xxhash64("text")).limit(max(1, n // 20))
+def ordinary_strings(docs: DataFrame, n: int = SAMPLE, texts: int = TEXTS) -> DataFrame:
+    """Labelled ordinary strings: the n words of eight or more letters with the smallest hashes in the `texts` different texts with the smallest hashes, alone and joined as identifiers are. Only hashes are ordered; copies of a text count once."""
+    hashed = docs.select(whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    picked = hashed.select("h").distinct().orderBy("h").limit(texts)
+    sample = hashed.join(F.broadcast(picked), "h").dropDuplicates(["h"])
     words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)))).alias("w")).distinct()
     words = words.orderBy(F.xxhash64("w"), "w").limit(n)
     low, kind = F.lower("w"), F.abs(F.xxhash64("w", F.lit(1))) % 4
@@ -77,20 +115,20 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
 
 
 def transitions(strings: DataFrame) -> DataFrame:
-    """How often each character follows another: at most 66 x 66 rows."""
+    """How often each character follows another: at most 67 x 67 rows, the pattern's characters squared."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.col("s").substr(i, F.lit(2)))
     found = strings.where(F.length("s") >= 2).select(F.explode(pairs).alias("pair")).where(F.rlike("pair", F.lit("^[A-Za-z0-9+/_=-]{2}$")))
     return found.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_ratios(docs: DataFrame) -> list[float]:
-    """For each pair of ASCII characters, at 128 * first + second: the log of its chance in random strings over that in ordinary ones, add-one smoothed over 66 characters."""
+    """For each pair of ASCII characters, at 128 * first + second: the log of its chance in random strings over that in ordinary ones, each count being larger by 0.5 than it is."""
     from math import log
 
     spark = docs.sparkSession
     counts = []
     for strings in (random_strings(spark), ordinary_strings(docs)):
-        rows = transitions(strings).limit(66 * 66).collect()
+        rows = transitions(strings).collect()
         counts.append({r.pair: r.n for r in rows})
     out = [0.0] * (128 * 128)
     letters = [chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]
@@ -103,13 +141,36 @@ def log_ratios(docs: DataFrame) -> list[float]:
 
 
 def ratio(body: Column, ratios: Column) -> Column:
-    """The mean log ratio of a string's transitions."""
-    n = F.length(body) - 1
+    """The mean log ratio of a string's transitions; the characters are folded from the left."""
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, c: Column) -> Column:
+        gain = F.when(acc["last"] < 0, 0.0).otherwise(F.get(ratios, acc["last"] * 128 + F.ascii(c)))
+        return F.struct(F.ascii(c).alias("last"), (acc["sum"] + gain).alias("sum"))
+
+    return F.aggregate(F.split(body, ""), zero, step, lambda acc: acc["sum"]) / (F.length(body) - 1)
+
 
-    def step(acc: Column, i: Column) -> Column:
-        return acc + F.element_at(ratios, F.ascii(body.substr(i, F.lit(1))) * 128 + F.ascii(body.substr(i + 1, F.lit(1))) + 1)
+def apart(runs: Column, base: Column) -> Column:
+    """The runs, in order and without overlaps, that no base span meets: those before whose end as many base spans start as stop before them."""
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), step) / n
+    def counted(points: Column, asked: Column, asked_first: bool) -> Column:
+        """For each asked place the number of points below it (and on it, unless it is asked first)."""
+        marks = F.concat(
+            F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(int(asked_first)).alias("order"), F.lit(1).alias("n"))),
+            F.transform(asked, lambda p: F.struct(p.alias("at"), F.lit(int(not asked_first)).alias("order"), F.lit(0).alias("n"))),
+        )
+        return let(F.array_sort(marks), lambda m: F.transform(F.filter(F.zip_with(m, running(m["n"]), lambda x, s: F.struct(x["n"].alias("n"), s.alias("s"))), lambda x: x["n"] == 0), lambda x: x["s"]))
+
+    def many(r: Column) -> Column:
+        starts, stops = counted(base["start"], r["stop"], True), counted(base["stop"], r["start"], False)
+        met = F.zip_with(starts, stops, lambda a, b: a - b)
+        return F.transform(F.filter(F.zip_with(r, met, lambda x, n: F.struct(x.alias("run"), n.alias("n"))), lambda x: x["n"] == 0), lambda x: x["run"])
+
+    def few(r: Column) -> Column:
+        return F.filter(r, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+
+    return let(runs, lambda r: F.when((F.size(r) == 0) | (F.size(base) == 0), r).when(F.size(r).cast("long") * F.size(base) <= PAIRS, few(r)).otherwise(many(r)))
 
 
 def find(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -120,12 +181,8 @@ def find(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
     assign = F.filter(spans(F.col("text"), ASSIGN, "assign", 2), lambda s: F.length(s["body"]) >= 8)
     base = F.array_sort(F.concat(assign, spans(F.col("text"), ACCESS, "access"), spans(F.col("text"), HEX, "hex")))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base.alias("base"))
-
-    def free(s: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-
-    runs = F.filter(spans(F.col("text"), CANDIDATE, "random"), lambda s: free(s) & (ratio(s["body"], lookup) > threshold))
-    return found.select("doc_id", "base", runs.alias("added"))
+    runs = F.filter(spans(F.col("text"), CANDIDATE, "random"), lambda s: ratio(s["body"], lookup) > threshold)
+    return found.select("doc_id", "base", apart(runs, F.col("base")).alias("added"))
 
 
 def joined(found: Column) -> Column:
