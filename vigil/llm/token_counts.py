@@ -41,20 +41,17 @@ class PieceCounter:
         own = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         if any("\n" in p or re.search("[^▁]▁", p) for p in own):
             raise ValueError("pieces of this vocabulary cross pre-tokens")
-        self.line_end = len(self.pieces.encode("\n")) - 1
+        self.before = len(self.pieces.encode("\n"))
+        self.mark = self.pieces.encode("\n")[:1]
 
     @staticmethod
     def split(text: str) -> list[str]:
         return _PARTS.findall(" " + text.replace("▁", " ")) if text else []
 
-    def counts(self, words: list[str]) -> list[int]:
-        """The pieces of each pre-token. The library puts a space mark before what it encodes: it stands for the first space of the pre-token; before one that has none, a line end keeps the mark apart."""
-        found = {"\n": self.line_end, " ": 1}
-        spaced = [w for w in words if w[0] == " " and w != " "]
-        bare = [w for w in words if w[0] not in " \n"]
-        found |= zip(spaced, map(len, self.pieces.encode([w[1:] for w in spaced], num_threads=1)), strict=True)
-        found |= {w: len(ids) - 1 - self.line_end for w, ids in zip(bare, self.pieces.encode(["\n" + w for w in bare], num_threads=1), strict=True)}
-        return [found[w] for w in words]
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """The ids of each pre-token. The library puts a space mark before what it encodes: it stands for the first space of the pre-token; before one that has none, a line end keeps the mark apart."""
+        found = self.pieces.encode([w[1:] if w[0] == " " else "\n" + w for w in words], num_threads=1)
+        return [(ids or self.mark) if w[0] == " " else ids[self.before :] for w, ids in zip(words, found, strict=True)]
 
 
 def vocabulary(docs: DataFrame, model: str) -> DataFrame:
@@ -80,20 +77,31 @@ def vocabulary(docs: DataFrame, model: str) -> DataFrame:
         counter = PieceCounter(model)
         for part in batches:
             if part.num_rows:
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counter.counts(part.column(0).to_pylist()), pa.int64())], ["word", "docs", "pieces"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, counter.encode(part.column(0).to_pylist())), pa.int64())], ["word", "docs", "pieces"])
 
     distinct = docs.select("text").mapInArrow(words, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     return distinct.mapInArrow(pieces, "word string, docs long, pieces long")
 
 
+def _least(known: DataFrame, hot: int) -> tuple[int, bool]:
+    """The number of documents from which on at most `hot` words are held, and whether these are all words. One row for each eighth of a power of two of documents comes to the driver."""
+    step = F.floor(F.log2("docs") * 8)
+    n, least = 0, 1 << 62
+    for r in known.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("docs").alias("least")).orderBy(F.col("step").desc()).collect():
+        n += r.n
+        if n > hot:
+            return least, False
+        least = r.least
+    return least, True
+
+
 def token_counts(docs: DataFrame, model: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of docs. hot: pre-tokens whose counts are broadcast at most."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = materialize(vocabulary(texts, model), "pieces")
-    every = known.count() <= hot
-    table_ = known if every else known.orderBy(F.col("docs").desc(), "word").limit(hot)
-    shared = spark.sparkContext.broadcast(table_.select("word", "pieces").toArrow())
+    least, every = _least(known, hot)
+    shared = spark.sparkContext.broadcast(known.where(F.col("docs") >= least).select("word", "pieces").toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = dict(zip(*(c.to_pylist() for c in shared.value.columns), strict=True))

@@ -13,7 +13,7 @@ whole shards in order, one in memory at a time. The permutation spreads every do
 than another. An attempt writes a shard under its own name in a folder of attempts and then renames it; the folder goes at
 the end, and the manifest is written last, so a folder with a manifest is complete.
 
-The query's ids are those of a public sentencepiece vocabulary, two bytes each (little-endian), the same as the library's.
+The query's ids are those of a public sentencepiece vocabulary, two bytes each (little-endian, as are the machines), the same as the library's.
 Each distinct pre-token of a partition is encoded once. Without a vocabulary, write() takes the bytes of UTF-8 as ids.
 
 Cases: a null or empty text has no ids and gives one row without a slot; very long texts lie in many sequences, and short ones
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,22 +84,14 @@ class PieceIds(PieceCounter):
             raise ValueError("ids of this vocabulary do not fit into two bytes")
         self.ids: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        mark, *line_end = self.pieces.encode("\n")
-        spaced = [w for w in new if w[0] == " " and w != " "]
-        bare = [w for w in new if w[0] not in " \n"]
-        found = dict(zip(spaced, self.pieces.encode([w[1:] for w in spaced], num_threads=1), strict=True))
-        found |= {w: ids[1 + len(line_end) :] for w, ids in zip(bare, self.pieces.encode(["\n" + w for w in bare], num_threads=1), strict=True)}
-        found |= {w: ids for w, ids in (("\n", line_end), (" ", [mark])) if w in new}
-        self.ids |= {w: np.array(ids, "<u2").tobytes() for w, ids in found.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         new = set().union(*split) - self.ids.keys()
         if len(self.ids) + len(new) > self.entries:
             self.ids.clear()
             new = set().union(*split)
-        self.learn(sorted(new))
+        words = list(new)
+        self.ids.update(zip(words, (array("H", ids).tobytes() for ids in self.encode(words)), strict=True))
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
@@ -148,7 +141,7 @@ def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER
     spark, width = docs.sparkSession, 2 if model else 1
     stride = length * width
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    coded = encode(texts, (lambda: PieceIds(model).encode) if model else lambda: utf8, width)
+    coded = encode(texts, (lambda: PieceIds(model)) if model else lambda: utf8, width)
     stored = new_dir(spark, "ids")
     coded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(stored)
     ids = spark.read.schema(coded.schema).parquet(stored)
