@@ -7,8 +7,8 @@ divided by the length, and the number of different entries give the score throug
 
 The lexicon is learnt: entries whose document frequencies among toxic and other labelled rows differ beyond chance, with the
 log odds as weights; exception phrases are pairs of neighbouring words that hold an entry and yet are no likelier in toxic
-rows than any text. Training uses at most `most` labelled rows, those with the smallest hash of doc_id; this bound is a
-parameter, TRAIN_ROWS by default. Labels are used for nothing else.
+rows than any text. Training uses at most `most` labelled rows, one for each of the doc_ids with the smallest hashes; this
+bound is a parameter, TRAIN_ROWS by default. Labels are used for nothing else.
 
 Cases: a null text is empty; a text without entries gets the curve's value at nothing found; without labelled rows every
 score is 0; rows with a null label are no training rows; of several labels for one doc_id the highest counts; repeated rows
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import python_chunks, table, whole_text
 
-#: Labelled rows to learn from, and entries of the lexicon, at most.
-TRAIN_ROWS, ENTRIES = 20_000, 4_000
+#: Labelled rows to learn from, at most.
+TRAIN_ROWS = 20_000
 #: Letters of the shortest and the longest beginning of a word that can be an entry.
 SHORTEST, LONGEST = 4, 12
 #: Twice the log-likelihood ratio from which a difference is taken as real.
@@ -108,12 +108,23 @@ def _end(text: str, at: int) -> int:
     return _WORD.match(text, at).end()
 
 
+def _word_before(text: str, at: int) -> str:
+    """The last word that ends before a place."""
+    end = at
+    while end and not _WORD.match(text[end - 1]):
+        end -= 1
+    start = end
+    while start and _WORD.match(text[start - 1]):
+        start -= 1
+    return text[start:end]
+
+
 def neighbours(text: str, start: int, end: int) -> list[tuple[str, str]]:
-    """The pairs of words that a word makes with those beside it."""
+    """The pairs of words that a word makes with those beside it, however long or far off they are."""
     word, out = text[start:end], []
-    if before := _WORD.findall(text, max(0, start - 40), start):
-        out.append((before[-1], word))
-    if after := _WORD.search(text, end, end + 40):
+    if before := _word_before(text, start):
+        out.append((before, word))
+    if after := _WORD.search(text, end):
         out.append((word, after[0]))
     return out
 
@@ -131,13 +142,13 @@ def features(text: str, automaton, exceptions: set[tuple[str, str]]) -> tuple[tu
     return (log1p(total), log1p(1000 * total / length), log1p(len(different))), n
 
 
-def _evidence(n1: float, n0: float, all1: float, all0: float) -> float:
-    """Twice the log-likelihood ratio of two frequencies against one."""
-    n, total = n1 + n0, all1 + all0
-    out = 0.0
+def _evidence(all1: int, all0: int) -> F.Column:
+    """Twice the log-likelihood ratio of the frequencies n1 of all1 and n0 of all0 against one frequency of both."""
+    n1, n0 = F.least("n1", F.lit(all1)), F.least("n0", F.lit(all0))
+    n, total = n1 + n0, float(all1 + all0)
+    out = F.lit(0.0)
     for seen, of in ((n1, n * all1 / total), (n0, n * all0 / total), (all1 - n1, (total - n) * all1 / total), (all0 - n0, (total - n) * all0 / total)):
-        if seen > 0 and of > 0:
-            out += 2 * seen * log(seen / of)
+        out = out + F.when((seen > 0) & (of > 0), 2 * seen * F.log(seen / of)).otherwise(0.0)
     return out
 
 
@@ -210,10 +221,11 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int = ENTRIES) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Lexicon:
     """Learn from the labelled rows of docs that are not held out."""
     chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    train = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(F.xxhash64("text"))
+    found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     train = train.persist()
     try:
         sizes = train.agg(F.sum(F.col("toxic").cast("long")).alias("all1"), F.count(F.lit(1)).alias("n")).first()
@@ -230,11 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, entries: int
         found = words.where("n1 > 0 OR n0 > 0").select(entry.alias("entry"), "n1", "n0").groupBy("entry").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         # a beginning is counted once for each word it is in, so its counts can exceed the documents
         odds = F.log((F.col("n1") + 0.5) / (all1 + 1.0)) - F.log((F.col("n0") + 0.5) / (all0 + 1.0))
-        top = found.withColumn("odds", odds).where((F.col("n1") >= 4) & (F.col("odds") > 1.5)).orderBy((F.col("odds") * F.sqrt("n1")).desc(), "entry").limit(4 * entries).collect()
-        real = {r.entry: (float(r.odds), r.n1) for r in top if _evidence(min(r.n1, all1), min(r.n0, all0), all1, all0) >= EVIDENCE}
-        weights = {e: real[e][0] for e in longest(real)[:entries]}
-        phrases = _phrase_counts(train, weights).where(F.col("n1") / all1 <= F.col("n0") / all0).where("n0 >= 3").orderBy(F.col("n0").desc(), "first", "second").limit(entries).collect()
-        lexicon = Lexicon(weights, {(r.first, r.second) for r in phrases if _evidence(r.n1, r.n0, all1, all0) >= 4})
+        top = found.withColumn("odds", odds).where((F.col("n1") >= 4) & (F.col("odds") > 1.5)).where(_evidence(all1, all0) >= EVIDENCE).orderBy((F.col("odds") * F.sqrt("n1")).desc(), "entry").collect()
+        real = {r.entry: (float(r.odds), r.n1) for r in top}
+        weights = {e: real[e][0] for e in longest(real)}
+        phrases = _phrase_counts(train, weights).where(F.col("n1") / all1 <= F.col("n0") / all0).where("n0 >= 3").where(_evidence(all1, all0) >= 4).collect()
+        lexicon = Lexicon(weights, {(r.first, r.second) for r in phrases})
         rows = train.mapInPandas(_features_of(lexicon), "a double, b double, c double, toxic int").toPandas()
         lexicon.curve = _logistic(rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy(float))
         return lexicon
