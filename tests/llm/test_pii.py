@@ -76,3 +76,13 @@ def test_rows(spark):
     assert [(s.kind, s.start, s.stop) for r in rows if r.doc_id is None for s in r.base] == [("ip", 10000, 10007)]
     assert pii.find(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_numbers_of_any_length_and_any_count_of_spans(spark):
+    long = "0" * 1000 + "999.1.1.1 " + "0" * 1000 + "25.1.1.1"
+    assert [k for k, *_ in pii.base_spans(long)] == ["ip"] and pii.base_spans(long)[0][1] == 1010
+    starts, reach = [0] + list(range(5, 205)), [1000] + [1000] * 200
+    assert pii._meets(starts, reach, 500, 501) and not pii._meets(starts, reach, 1000, 1001) and not pii._meets([], [], 0, 9)
+    rows = [(1, None, "x"), (1, None, "x"), (2, "a@b.org", "y")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string, base string")).collect()
+    assert sorted((r.doc_id, len(r.base)) for r in found) == [(1, 0), (1, 0), (2, 1)]

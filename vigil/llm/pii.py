@@ -14,8 +14,10 @@ results; an empty table gives no rows; other columns are not read. A span of the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base matches that pass, by kind and then start."""
     out = [("email", *s) for s in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 1000) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     if _TEN.search(text):
         for m in _CARD.finditer(text):
@@ -418,7 +420,8 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             added = []
             for own, more in zip(base, field_spans(*text_buffers(column), field), strict=True):
                 taken = sorted((s, e) for _, s, e in own)
-                added.append([m for m in more if not _meets(taken, m[1], m[2])])
+                starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+                added.append([m for m in more if not _meets(starts, reach, m[1], m[2])])
             rows = [[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in base], [[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in added]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, SPAN) for r in rows)], ["doc_id", "base", "added"])
 
@@ -426,11 +429,10 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, f"doc_id long, base {spans}, added {spans}")
 
 
-def _meets(taken: list[tuple[int, int]], start: int, stop: int) -> bool:
-    from bisect import bisect_left
-
-    at = bisect_left(taken, (stop, -1))
-    return any(e > start for _, e in taken[max(0, at - 64) : at]) if at else False
+def _meets(starts: list[int], reach: list[int], start: int, stop: int) -> bool:
+    """Whether one of some spans, given by their sorted starts and how far those up to each reach, meets start..stop."""
+    at = bisect_left(starts, stop)
+    return at > 0 and reach[at - 1] > start
 
 
 def joined(spans: Column) -> Column:
