@@ -11,7 +11,7 @@ if it has fewer).
 The benchmark's windows are broadcast only up to BROADCAST windows; beyond that the join is a shuffled one. Items with one
 text count as the smallest item_id of them. Items of fewer than SIZE words have no window and match nothing.
 
-Cases: null texts are empty; texts of any length are read whole; rows with the same doc_id and text are one document; an
+Cases: null texts are empty; texts of any length are read whole, the placeholders' own characters counting as signs; rows with the same doc_id and text are one document; an
 empty table, of documents or of the benchmark, gives no rows; other columns are not read.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE_CLASS, free_name, materialize, table, whole_text
+from vigil.llm.common import SPACE_CLASS, free_name, let, materialize, table, whole_text
 
 SIZE, LITERAL, RUN, BROADCAST = 8, 5, 3, 200_000
 #: The windows that keep one mapping of the slots must be so large a part (two thirds) of the aligned ones.
@@ -35,9 +35,13 @@ UNITS = "mm cm dm m km g mg kg t l ml s ms min h hours hour minutes minute secon
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def template(text: Column, wide: bool = False) -> Column:
-    """The template words of a text as an array. Words without a letter or digit drop out; a text without any has one empty word. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
-    numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
+def numbered(text: Column) -> Column:
+    """The text with a placeholder for each word that begins with a digit."""
+    return F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT, ""), rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
+
+
+def template(numbered: Column, wide: bool = False) -> Column:
+    """The template words of a numbered text as an array. Words without a letter or digit drop out; a text without any has one empty word. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
     name = rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*\p{{Lu}}{_NOT_SPACE}*" if wide else rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*"
     named = F.regexp_replace(numbered, name, NAME)
     united = F.regexp_replace(named, rf"(?<={NUMBER}{SPACE_CLASS if wide else r'\x20'})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]){_NOT_SPACE}*", UNIT)
@@ -61,23 +65,33 @@ def windows(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("*", at)
 
 
-def body(words: str, size: int) -> Column:
-    return F.slice(words, F.col("at") + 1, F.lit(size))
+def hashes(words: Column) -> Column:
+    """A hash of each word, so that a window's is one of numbers and no words are copied."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hash(hashed: str, size: int) -> Column:
+    return F.xxhash64(*[F.get(hashed, F.col("at") + k) for k in range(size)])
+
+
+def forms(rows: DataFrame, *kept: str) -> DataFrame:
+    """rows (text, numbered) with words, wide and fold, and the hashes of each."""
+    made = rows.select(*kept, template(F.col("numbered")).alias("words"), template(F.col("numbered"), True).alias("wide"), folded(F.col("text")).alias("fold"))
+    return made.withColumns({f"{k}_h": hashes(F.col(k)) for k in ("words", "wide", "fold")})
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
     """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (folded words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    text = F.col("text")
-    found = windows(items.select("item_id", template(text).alias("words"), template(text, True).alias("wide"), folded(text).alias("fold")), size)
-    kinds = [F.struct(F.xxhash64(body("fold", size)).alias("hash"), F.lit(True).alias("exact"), F.lit(None).cast("array<struct<i:int,word:string>>").alias("slots"))]
+    found = windows(forms(items.withColumn("numbered", numbered(F.col("text"))), "item_id"), size)
+    kinds = [F.struct(window_hash("fold_h", size).alias("hash"), F.lit(True).alias("exact"), F.lit(None).cast("array<struct<i:int,word:string>>").alias("slots"))]
     fits = {}
     for words, least in (("words", literal), ("wide", min(literal, WIDE_LITERAL))):
-        places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(body(words, size), i)))  # noqa: B023
+        places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(words, F.col("at") + i)))  # noqa: B023
         slots = F.transform(places, lambda i: F.struct(i.alias("i"), F.get("fold", F.col("at") + i).alias("word")))
         fits[words] = F.size(places) <= size - least
-        kinds.append(F.when(fits[words] & (F.size(places) > 0), F.struct(F.xxhash64(body(words, size)).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))))
+        kinds.append(F.when(fits[words] & (F.size(places) > 0), F.struct(window_hash(f"{words}_h", size).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))))
     found = found.withColumn("usable", fits["words"] | fits["wide"]).withColumn("kinds", F.array_distinct(F.array_compact(F.array(*kinds))))
     sizes = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sum(fits["words"].cast("long")).alias("n_slot"))
     found = found.select("item_id", F.col("at").alias("item_at"), "usable", F.explode("kinds").alias("kind"))
@@ -90,18 +104,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     known = sides.select("hash", "item_id", "item_at", "exact", "usable", "n_item", "n_slot", "slots")
     if known.count() <= broadcast:
         known = F.broadcast(known)
-    text = whole_text()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), template(text).alias("words"), template(text, True).alias("wide"), folded(text).alias("fold"))
-    hashes = F.array_distinct(F.array(*(F.xxhash64(body(w, size)) for w in ("words", "wide", "fold"))))
-    hit = windows(rows, size).select("doc_id", "text", "fold", "at", F.explode(hashes).alias("hash")).join(known, "hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumns({"th": F.xxhash64("text"), "numbered": numbered(F.col("text"))})
+    found = F.array_distinct(F.array(*(window_hash(k, size) for k in ("words_h", "wide_h", "fold_h"))))
+    hit = windows(forms(rows, "doc_id", "th"), size).select("doc_id", "th", "fold", "at", F.explode(found).alias("hash")).join(known, "hash")
     pairs = F.transform(F.coalesce("slots", F.array().cast("array<struct<i:int,word:string>>")), lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
-    hit = hit.select("doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
+    hit = hit.select("doc_id", "th", "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
     aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(F.collect_set("hit").alias("hits"))
     aligned = aligned.withColumn("every", F.flatten("hits.pairs"))
     aligned = aligned.withColumn("seen", F.transform(F.array_distinct("every"), lambda p: F.struct(p.alias("pair"), F.size(F.filter("every", lambda q: q == p)).alias("n"))))
     beaten = lambda c: F.exists("seen", lambda e: (e["pair"]["item"] == c["pair"]["item"]) & ((e["n"] > c["n"]) | (e["n"] == c["n"]) & (e["pair"]["doc"] < c["pair"]["doc"])))
-    aligned = aligned.withColumn("lost", F.transform(F.filter("seen", beaten), lambda c: c["pair"]))
-    aligned = aligned.withColumn("good", F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("lost"))))
+    lost = F.transform(F.filter("seen", beaten), lambda c: c["pair"])
+    aligned = aligned.withColumn("good", let(lost, lambda pairs: F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], pairs))))
     places = lambda name, test: F.size(F.array_distinct(F.transform(F.filter(name, test), lambda h: h["at"])))
     n, whole = places("good", lambda h: F.lit(True)), F.least(F.lit(run), F.col("n_item"))
     most = SHARE[1] * n >= SHARE[0] * places("hits", lambda h: F.lit(True))

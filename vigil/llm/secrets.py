@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import table, whole_text
+from vigil.llm.common import let, table, whole_text
 
 #: Strings of either label to train from, texts that the ordinary ones come from, characters of a run that is scored, and the ratio per transition.
 SAMPLE, TEXTS, RUN, THRESHOLD = 20_000, 1_000, 20, 0.6
@@ -40,11 +40,6 @@ KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,body:string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running(values: Column) -> Column:
     """The sums of an array of int up to each place. Sums run inside blocks of BLOCK and then over the blocks, since adding to an array copies it."""
     none = F.array().cast("array<int>")
