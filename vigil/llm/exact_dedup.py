@@ -1,14 +1,15 @@
 """Exact deduplication with disk-backed streaming state.
 
-Method: every row becomes an *arrival* (digest, stable identifier, number of code points, locator). A Structured
-Streaming aggregation keeps, for each digest and without expiry, the arrival that stays and the size of the group; its
-state lives in RocksDB, and Spark sums a partition's rows before the shuffle, so that a hot digest costs one row a
-partition. Hits (digests seen more than once) are then checked on the full normalised bytes: within a digest the least
-and the greatest text must be the same. Digests that fail the check (a collision) are told apart by their whole text in a
-second run, so the result never rests on the digest alone.
+Method: every row becomes an *arrival* (digest, identifier, number of code points, normalised text), stored as Parquet; its
+locator is the file and the row there. A Structured Streaming aggregation keeps, for each digest and without expiry, the
+arrival that stays (identifier and locator) and the size of the group; its state lives in RocksDB, and Spark sums a
+partition's rows before the shuffle, so that a hot digest costs one row a partition. Each micro-batch checks its hits (digests
+seen more than once by then) on the full bytes: all arrivals with such a digest must have one text. Digests that fail the
+check (a collision) are told apart by their whole text in a second run, so the result never rests on the digest alone.
+Joins on the digest have plain exchanges on both sides, so Spark can split a hot one.
 
 Cases: a null text is empty; empty texts (and those of white space alone) are equal to each other; ties go to the
-smallest doc_id (nulls last), then to the row that arrived first, so repeated rows leave exactly one; an empty table
+smallest doc_id (nulls last), then to the least locator, so repeated rows leave exactly one; an empty table
 gives no rows; other columns are ignored or carried along, whatever they are called.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from vigil.llm.common import SPACE_CLASS, materialize, new_dir, whole_text
 
@@ -39,33 +41,53 @@ def sha256(text: Column) -> Column:
 
 
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, apart: DataFrame | None = None, payload: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_points, digest, uid (the locator of its row) and, with payload, the row itself.
+    """One row a document: doc_id, n_points, digest and norm (the normalised text), or with payload in place of that the row itself.
 
     apart: digests whose groups hold different texts; for these the key is the digest and the whole text.
     """
     text = whole_text()
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if payload else []
     norm = normalised(text)
-    found = docs.select(F.col("doc_id"), F.length(text).alias("n_points"), digest(norm).alias("digest"), *([norm.alias("norm")] if apart is not None else []), *kept)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select("doc_id", F.length(text).alias("n_points"), digest(norm).alias("digest"), norm.alias("norm"), *([row.alias("row")] if payload else []))
     if apart is not None:
         found = found.join(apart.select("digest", F.lit(True).alias("differs")), "digest", "left").withColumn(
             "digest", F.when(F.col("differs"), F.concat("digest", F.encode("norm", "UTF-8"))).otherwise(F.col("digest"))
         )
-    return found.select("doc_id", "n_points", "digest", F.monotonically_increasing_id().alias("uid"), *(["row"] if payload else []))
+    return found.select("doc_id", "n_points", "digest", "row" if payload else "norm")
+
+
+def located(stored: DataFrame) -> DataFrame:
+    """Stored arrivals with their locators: the file and the row in it."""
+    return stored.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
 
 
 def keep_state(stream: DataFrame) -> DataFrame:
-    """Per digest: the arrival that stays (most code points, then smallest doc_id, then the earliest row) and the number of arrivals."""
-    best = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"))
+    """Per digest: the arrival that stays (most code points, then smallest doc_id, then least locator) and the number of arrivals."""
+    best = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("at").alias("keep_at"))
     return stream.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def start_stream(stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Deduplicate a stream of arrivals for as long as it runs. Each micro-batch writes the digests that it changed to its own folder under out, so a batch that is run again replaces its files. The state and the offsets are in checkpoint: a restart goes on from there."""
-    spark = stream.sparkSession
+def differing(stored: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests among hits that more than one text has, by comparing the full bytes of all stored arrivals with them."""
+    norm = F.col("norm") if "norm" in stored.columns else normalised(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    texts = stored.select("digest", norm.alias("norm")).join(hits, "digest", "left_semi")
+    return texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest")
+
+
+def start_stream(stored: str, schema: StructType, out: str, checkpoint: str, spark: SparkSession, **trigger) -> StreamingQuery:
+    """Deduplicate the arrivals that are stored below a folder, and those yet to come there, for as long as it runs.
+
+    Each micro-batch writes the digests that it changed to state/batch=N below out, and those of its hits whose texts differ to
+    differing/batch=N, so a batch that is run again replaces its files. The state and the offsets are in checkpoint: a restart
+    goes on from there. The check of a batch reads the stored arrivals once.
+    """
+    stream = located(spark.readStream.schema(schema).parquet(stored)).select("doc_id", "n_points", "digest", "at")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
+        own = batch.sparkSession
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/state/batch={number}")
+        hits = own.read.parquet(f"{out}/state/batch={number}").where("group_size > 1").select("digest")
+        differing(own.read.schema(schema).parquet(stored), hits).write.mode("overwrite").parquet(f"{out}/differing/batch={number}")
 
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
@@ -79,53 +101,40 @@ def start_stream(stream: DataFrame, out: str, checkpoint: str, **trigger) -> Str
 
 def state_table(spark: SparkSession, out: str) -> DataFrame:
     """The state of each digest after the last batch: both parts of it only ever move one way."""
-    schema = "digest binary, best struct<less int, no_id boolean, keep_id bigint, keep_uid bigint>, group_size bigint, batch int"
-    found = spark.read.schema(schema).option("basePath", out).parquet(out)
+    schema = "digest binary, best struct<less int, no_id boolean, keep_id bigint, keep_at struct<file string, row bigint>>, group_size bigint, batch int"
+    found = spark.read.schema(schema).option("basePath", f"{out}/state").parquet(f"{out}/state")
     return found.groupBy("digest").agg(F.min("best").alias("best"), F.max("group_size").alias("group_size"))
 
 
-def differing(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Digests that more than one text has, by comparing the full bytes of all hits."""
-    hits = state.where("group_size > 1").select("digest")
-    norm = normalised(whole_text())
-    texts = docs.select(norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    return texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest")
-
-
-def _run(docs: DataFrame, digest: Callable[[Column], Column], apart: DataFrame | None, payload: bool) -> tuple[DataFrame, DataFrame]:
+def _run(docs: DataFrame, digest: Callable[[Column], Column], apart: DataFrame | None, payload: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored arrivals, the state, and the digests that differ."""
     spark = docs.sparkSession
-    path = new_dir(spark, "arrivals")
-    seen = materialize(arrivals(docs, digest, apart, payload), "arrivals", path)
-    columns = "doc_id", "n_points", "digest", "uid"
-    out, checkpoint = new_dir(spark, "state"), new_dir(spark, "stream")
-    stream = spark.readStream.schema(seen.schema).parquet(path).select(*columns)
-    if seen.limit(1).count():
-        query = start_stream(stream, out, checkpoint, availableNow=True)
-        query.awaitTermination()
-        state = state_table(spark, out)
-    else:
-        state = keep_state(seen.select(*columns))
-    return seen, state
+    path, out = new_dir(spark, "arrivals"), new_dir(spark, "state")
+    stored = materialize(arrivals(docs, digest, apart, payload), "arrivals", path)
+    none = stored.select("digest").limit(0)
+    if not stored.limit(1).count():
+        return located(stored), keep_state(located(stored).select("doc_id", "n_points", "digest", "at")), none
+    start_stream(path, stored.schema, out, new_dir(spark, "stream"), spark, availableNow=True).awaitTermination()
+    return located(stored), materialize(state_table(spark, out), "kept"), spark.read.schema(none.schema).parquet(f"{out}/differing").distinct()
 
 
 def classes(docs: DataFrame, digest: Callable[[Column], Column] = sha256, payload: bool = False) -> DataFrame:
-    """One row a document: doc_id, uid, digest, keep_id, keep_uid, group_size (and row)."""
-    seen, state = _run(docs, digest, None, payload)
-    apart = materialize(differing(docs, state, digest), "differing")
+    """One row a document: doc_id, at (its locator), digest, keep_id, keep_at, group_size (and row)."""
+    seen, state, apart = _run(docs, digest, None, payload)
     if apart.limit(1).count():
-        seen, state = _run(docs, digest, apart, payload)
-    return seen.join(state, "digest").select("doc_id", "uid", "digest", "best.keep_id", "best.keep_uid", "group_size", *(["row"] if payload else []))
+        seen, state, _ = _run(docs, digest, apart, payload)
+    return seen.join(state, "digest").select("doc_id", "at", "digest", "best.keep_id", "best.keep_at", "group_size", *(["row"] if payload else []))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs."""
     found = classes(docs, payload=True)
-    return found.where("uid = keep_uid").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return found.where("at = keep_at").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classes(docs).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return classes(docs).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 OP6_SQL = r"""
