@@ -17,6 +17,9 @@ empty table, of documents or of the benchmark, gives no rows; other columns are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,26 +32,43 @@ SHARE = 2, 3
 WIDE_LITERAL = 4
 #: One private-use character each.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: Stands before a unit that is one for wide templates alone.
+MARK = "\ue003"
 #: Units that count as such behind a number.
 UNITS = "mm cm dm m km g mg kg t l ml s ms min h hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch pounds pound euros euro dollars dollar percent degrees degree meters meter metres metre grams gram liters liter".split()
 
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def numbered(text: Column) -> Column:
-    """The text with a placeholder for each word that begins with a digit."""
-    return F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT, ""), rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
+def any_of(text: Column, *parts: str) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in parts))
+
 
+def marked(text: Column) -> Column:
+    """The text with placeholders: for words that begin with a digit, for capitalised words behind a space that a lower-case letter, comma or semicolon precedes, and for units that a space parts from a number. A unit behind a number and other white space gets a mark."""
+    own = NUMBER + NAME + UNIT + MARK
+    text = F.when(any_of(text, *own), F.translate(text, own, "")).otherwise(text)
+    numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
+    named = F.regexp_replace(numbered, rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*", NAME)
+    unit = rf"(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+    return F.regexp_replace(named, rf"({NUMBER}\x20){unit}{_NOT_SPACE}*", f"$1{UNIT}")
 
-def template(numbered: Column, wide: bool = False) -> Column:
-    """The template words of a numbered text as an array. Words without a letter or digit drop out; a text without any has one empty word. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
-    name = rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*\p{{Lu}}{_NOT_SPACE}*" if wide else rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*"
-    named = F.regexp_replace(numbered, name, NAME)
-    united = F.regexp_replace(named, rf"(?<={NUMBER}{SPACE_CLASS if wide else r'\x20'})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]){_NOT_SPACE}*", UNIT)
-    bare = F.lower(F.regexp_replace(united, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+", ""))
+
+def cased(marked: Column) -> Column:
+    """The words of a marked text without signs. Words without a letter or digit drop out; a text without any has one empty word."""
+    unit = rf"({NUMBER}[\x09-\x0D])((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+    both = F.when(any_of(marked, *(NUMBER + c for c in "\t\n\x0b\x0c\r")), F.regexp_replace(marked, unit, f"$1{MARK}$2")).otherwise(marked)
+    bare = F.regexp_replace(both, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{MARK}\x20\x09-\x0D]+", "")
     return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
 
 
+def template(word: Column, wide: bool = False) -> Column:
+    """The template word of a cased one: in lower case. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
+    if wide:
+        return F.when(F.startswith(word, F.lit(MARK)), UNIT).when(F.rlike(word, F.lit(r"^\p{Lu}")), NAME).otherwise(F.lower(word))
+    return F.lower(F.ltrim(word, F.lit(MARK)))
+
+
 def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
@@ -60,31 +80,28 @@ def folded(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows (with `words`) once for each window: at (from 0). The size is tested in the generator: as a filter it would move below the template and compute that again."""
-    at = F.explode(F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))).alias("at")
+    """rows (with `fold`) once for each window: at (from 0). The size is tested in the generator: as a filter it would move below the template and compute that again."""
+    at = F.explode(F.when(F.size("fold") >= size, F.sequence(F.lit(0), F.size("fold") - size))).alias("at")
     return rows.select("*", at)
 
 
-def hashes(words: Column) -> Column:
-    """A hash of each word, so that a window's is one of numbers and no words are copied."""
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
 def window_hash(hashed: str, size: int) -> Column:
     return F.xxhash64(*[F.get(hashed, F.col("at") + k) for k in range(size)])
 
 
 def forms(rows: DataFrame, *kept: str) -> DataFrame:
-    """rows (text, numbered) with words, wide and fold, and the hashes of each."""
-    made = rows.select(*kept, template(F.col("numbered")).alias("words"), template(F.col("numbered"), True).alias("wide"), folded(F.col("text")).alias("fold"))
-    return made.withColumns({f"{k}_h": hashes(F.col(k)) for k in ("words", "wide", "fold")})
+    """rows (text, marked) with the template words, the wide ones and the folded ones, and the hashes of each."""
+    made = rows.select(*kept, cased(F.col("marked")).alias("cased"), folded(F.col("text")).alias("fold"))
+    made = made.select("*", F.transform("cased", lambda w: template(w)).alias("words"), F.transform("cased", lambda w: template(w, True)).alias("wide"))
+    found = {"words_h": F.transform("cased", lambda w: F.xxhash64(template(w))), "wide_h": F.transform("cased", lambda w: F.xxhash64(template(w, True))), "fold_h": F.transform("fold", lambda w: F.xxhash64(w))}
+    return made.withColumns(found)  # a hash of each word, so that a window's is one of numbers and no words are copied
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
     """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (folded words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    found = windows(forms(items.withColumn("numbered", numbered(F.col("text"))), "item_id"), size)
+    found = windows(forms(items.withColumn("marked", marked(F.col("text"))), "item_id"), size)
     kinds = [F.struct(window_hash("fold_h", size).alias("hash"), F.lit(True).alias("exact"), F.lit(None).cast("array<struct<i:int,word:string>>").alias("slots"))]
     fits = {}
     for words, least in (("words", literal), ("wide", min(literal, WIDE_LITERAL))):
@@ -104,8 +121,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     known = sides.select("hash", "item_id", "item_at", "exact", "usable", "n_item", "n_slot", "slots")
     if known.count() <= broadcast:
         known = F.broadcast(known)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumns({"th": F.xxhash64("text"), "numbered": numbered(F.col("text"))})
-    found = F.array_distinct(F.array(*(window_hash(k, size) for k in ("words_h", "wide_h", "fold_h"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumns({"th": F.xxhash64("text"), "marked": marked(F.col("text"))})
+    one, two, three = (window_hash(k, size) for k in ("words_h", "wide_h", "fold_h"))
+    found = F.array(one, F.when(two != one, two), F.when((three != one) & (three != two), three))  # a null joins nothing
     hit = windows(forms(rows, "doc_id", "th"), size).select("doc_id", "th", "fold", "at", F.explode(found).alias("hash")).join(known, "hash")
     pairs = F.transform(F.coalesce("slots", F.array().cast("array<struct<i:int,word:string>>")), lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
     hit = hit.select("doc_id", "th", "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
