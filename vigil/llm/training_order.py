@@ -104,7 +104,7 @@ def encode(docs: DataFrame, coder: Callable[[], Callable[[list[str]], list[bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, at = coder(), TaskContext.get().partitionId(), 0
-        for rows, texts in python_chunks(batches, 2 << 20):
+        for rows, texts in python_chunks(batches, 8 << 20):
             ids = code(texts)
             n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
             ends = at + np.cumsum(n)
@@ -143,7 +143,7 @@ def write(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     coded = encode(texts, (lambda: PieceIds(model)) if model else lambda: utf8, width)
     stored = new_dir(spark, "ids")
-    coded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(stored)
+    coded.write.option("compression", "zstd").parquet(stored)
     ids = spark.read.schema(coded.schema).parquet(stored)
     begins, total = {}, 0
     for r in sorted(ids.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.part):
