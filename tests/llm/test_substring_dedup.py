@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -28,7 +29,7 @@ def brute(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("size", "width"), [(20, 1 << 40), (17, 1)])
+@pytest.mark.parametrize(("size", "width"), [(20, 1 << 40), (17, 1), (20, None)])
 def test_against_brute_force(spark, size, width):
     rng = random.Random(size)
     words = ["w%d" % k for k in range(40)] + ["é ü", "🙂"]
@@ -56,3 +57,14 @@ def test_against_brute_force(spark, size, width):
 def test_empty_table(spark):
     found, cleaned = sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string, extra int"))
     assert found.count() == 0 and cleaned.count() == 0
+
+
+def test_sketch_is_never_too_low(spark):
+    rng = random.Random(9)
+    anchors = [k for k in range(4000) for _ in range(rng.choice([1, 1, 1, 1, 2, 5]))]
+    found = spark.createDataFrame([(a,) for a in anchors], "anchor long")
+    repeated = sum(n > 1 for n in Counter(anchors).values())
+    for width, most in ((sd.width_for(len(anchors)), 0.1), (512, 1.0), (1, 1.0)):
+        r = sd.over_count(found, width).first()
+        assert (r.anchors, r.repeated) == (4000, repeated) and repeated <= r.taken <= repeated + most * (4000 - repeated)
+        assert sd.sketch(found, width).count() <= sd.ROWS * width

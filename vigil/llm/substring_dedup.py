@@ -7,10 +7,11 @@ Method:
 1. Documents with the same words as one of a smaller doc_id are settled at once: all of their windows repeat.
 2. Every window has an anchor, the least hash of the runs of ANCHOR words in it; equal windows have equal anchors, so the
    number of documents with an anchor is never below that of any window of it. Each partition counts its documents' anchors
-   into the cells of a count-min sketch of ROWS rows; the partitions' cells are merged by Spark's sums. The sketch is a
-   table with WIDTH cells a row, spread over the cluster: it is not broadcast and grows with the input.
-3. Only windows whose anchor has two documents or more by every row of the sketch are hashed (128 bits) and grouped exactly,
-   by the smallest doc_id; those that repeat are joined back and their words removed. The estimate is never too low, so no
+   into the cells of a count-min sketch of ROWS rows, and the partitions' cells are merged by Spark's sums. A row has LOAD to
+   2 * LOAD cells for each anchor that was counted, so cells are shared, estimates are too high now and then (`over_count`
+   measures how often), and the sketch, a table spread over the cluster, is bounded by its width whatever the texts hold.
+3. Only windows whose anchor has two documents or more by every row of the sketch are hashed (128 bits) and grouped by that,
+   with the smallest doc_id; those that repeat are joined back and their words removed. The estimate is never too low, so no
    window is lost.
 A hot anchor or window is summed in each partition before the shuffle, and the join back is one that Spark can split.
 
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import chunks, materialize, table, text_buffers, whole_text
 from vigil.llm.wordhash import boundaries, hash_runs, hash_words, run_starts
 
-SIZE, ANCHOR, ROWS, WIDTH = 50, 16, 2, 1 << 40
+SIZE, ANCHOR, ROWS, LOAD = 50, 16, 2, 4
 #: The place of a null doc_id.
 LAST = (1 << 63) - 1
 
@@ -83,14 +84,28 @@ def profile(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, place long, th long, n_words long, sha binary, anchors array<long>")
 
 
-def sketch(found: DataFrame, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
-    """The merged count-min sketch: (row, cell, n) for the cells that two or more documents fall into. found: anchor, one row for each document and anchor."""
-    cells = found.select(F.explode(F.array(*[F.struct(F.lit(r).alias("row"), cell(r, width).alias("cell")) for r in range(rows)])).alias("c"))
-    return cells.groupBy("c.row", "c.cell").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+def width_for(anchors: int) -> int:
+    """Cells of a row of the sketch: the first power of two from LOAD a counted anchor on."""
+    return 1 << max(10, (LOAD * max(anchors, 1) - 1).bit_length())
 
 
-def cell(row: int, width: int):
-    return F.pmod(F.xxhash64(F.col("anchor"), F.lit(row)), F.lit(width))
+def cell(row: int, width: int) -> Column:
+    """The cell of an anchor in a row of the sketch, the rows one after another."""
+    return F.pmod(F.xxhash64(F.col("anchor"), F.lit(row)), F.lit(width)) + row * width
+
+
+def sketch(found: DataFrame, width: int, rows: int = ROWS) -> DataFrame:
+    """The merged count-min sketch: (cell, n) for the cells that two or more documents fall into. found: anchor, one row for each document and anchor."""
+    return found.select(F.explode(F.array(*[cell(r, width) for r in range(rows)])).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def over_count(found: DataFrame, width: int) -> DataFrame:
+    """One row: anchors (different ones), taken (those that the sketch takes as repeated) and repeated (those that are)."""
+    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    left, full = counts, sketch(found, width)
+    for r in range(ROWS):
+        left = left.withColumn("cell", cell(r, width)).join(full.select("cell"), "cell", "left_semi").drop("cell")
+    return counts.agg(F.count(F.lit(1)).alias("anchors")).join(left.agg(F.count(F.lit(1)).alias("taken"), F.sum((F.col("n") > 1).cast("long")).alias("repeated")))
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
@@ -115,12 +130,19 @@ def _keys(anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
     return anchor ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def suspects(docs: DataFrame, rows: DataFrame, size: int = SIZE, width: int = WIDTH) -> DataFrame:
+def _rows(*columns: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers as values that compare as one."""
+    return np.ascontiguousarray(np.column_stack([c.astype(np.uint64) for c in columns])).view(np.dtype((np.void, 8 * len(columns)))).ravel()
+
+
+def suspects(docs: DataFrame, rows: DataFrame, size: int = SIZE, width: int | None = None) -> DataFrame:
     """The rows of docs with windows that the sketch takes as repeated, with their anchors of that kind."""
     found = rows.where(F.size("anchors") > 0).select("place", "th", F.explode("anchors").alias("anchor"))
-    full = materialize(sketch(found.select("place", "anchor").select("anchor"), width), "sketch")
+    if width is None:
+        width = width_for(rows.agg(F.sum(F.size("anchors"))).first()[0] or 0)
+    full = materialize(sketch(found.select("anchor"), width), "sketch")
     for r in range(ROWS):
-        cells = full.where(F.col("row") == r).select("cell")
+        cells = full.where((F.col("cell") >= r * width) & (F.col("cell") < (r + 1) * width)).select("cell")
         found = found.withColumn("cell", cell(r, width)).join(cells, "cell", "left_semi").drop("cell")
     held = found.groupBy("place", "th").agg(F.collect_set("anchor").alias("anchors"))
     return keyed(docs).join(held, ["place", "th"]).select("doc_id", "place", "th", "text", "anchors")
@@ -154,12 +176,9 @@ def _cleaned(texts: DataFrame, windows: DataFrame, size: int = SIZE) -> DataFram
             flat = pairs.flatten()
             w1, w2 = (flat.field(k).to_numpy().view(np.uint64) for k in (0, 1))
             owner = np.repeat(np.arange(part.num_rows), pairs.value_lengths().to_numpy())
-            gone = set(zip(owner.tolist(), w1.tolist(), w2.tolist(), strict=True))
-            cover = np.zeros(len(starts) + 1, np.int64)
-            for i, t, a, b in zip(at.tolist(), text.tolist(), one.view(np.uint64).tolist(), two.view(np.uint64).tolist(), strict=True):
-                if (t, a, b) in gone:
-                    cover[i] += 1
-                    cover[i + size] -= 1
+            gone = _rows(owner, w1, w2)
+            start = at[np.isin(_rows(text, one.view(np.uint64), two.view(np.uint64)), gone)]
+            cover = np.bincount(start, minlength=len(starts) + 1) - np.bincount(start + size, minlength=len(starts) + 1)
             lost = np.cumsum(cover[:-1]) > 0
             raw, kept, n = data.tobytes(), [], []
             for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
@@ -172,11 +191,12 @@ def _cleaned(texts: DataFrame, windows: DataFrame, size: int = SIZE) -> DataFram
     return given.mapInArrow(run, "place long, th long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, size: int = SIZE, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables. First, one row for each row of docs: doc_id, place, th, n_words, sha, whole (true if all words go as a copy). Second, (place, th, n_removed, kept) for the others that lose words."""
     rows = materialize(profile(docs, size), "profile")
     long = rows.where(F.col("n_words") >= size)
-    first = long.groupBy("sha", "n_words").agg(F.min("place").alias("first"))
+    several = long.groupBy("sha", "n_words").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(several.select("sha", "n_words", "first"), "copies")  # so that Spark can split the join
     marked = materialize(
         rows.join(first, ["sha", "n_words"], "left").select("doc_id", "place", "th", "n_words", "sha", F.coalesce(F.col("first") < F.col("place"), F.lit(False)).alias("whole"), "anchors"), "marked"
     )
