@@ -1,8 +1,10 @@
 """Operators on small hand-made inputs."""
 
 import json
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def test_models():
     y = np.concatenate([[0.0], x[:-1]]) + 0.1 * rng.standard_normal(200)
     assert M.transfer_entropy(x, y) > M.transfer_entropy(y, x) and M.transfer_entropy(x[:4], y[:4]) == 0.0
     blobs = np.concatenate([rng.normal(c, 0.1, (20, 4)) for c in (0, 3, 6)])
-    table = M.cluster_table(blobs, range(2, 6))
+    alone = pd.DataFrame({"leader": range(len(blobs)), "n": 1, "total": list(blobs), "square": (blobs**2).sum(axis=1)})
+    table = M.cluster_table(alone, range(2, 6))
     assert table[table.chosen].k.tolist() == [3]
     k, scale = M.weibull(rng.weibull(2.0, 4000) * 3)
     assert abs(k - 2) < 0.15 and abs(scale - 3) < 0.15
@@ -146,3 +149,37 @@ def test_dumps_and_sinks(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "nt")).collect())[1] == "<urn:x:a_b> <urn:x:p> <urn:x:c> ."
     sinks.store(spark.createDataFrame([(1, 2.0)], "episode_id int, v double"), str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+
+
+def test_long_chains_deep_traces_and_cycles(spark):
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(40)] + [("x", "y"), ("y", "x")]
+    links = spark.createDataFrame(chain, "a string, b string")
+    dist = {(r.a, r.b): r.d for r in graph.distances(links).collect()}
+    assert dist["n000", "n040"] == 40 and dist["n040", "n003"] == 37 and dist["n007", "n007"] == 0 and ("x", "n000") not in dist
+    assert {r.node: r.component for r in graph.components(links).collect()} == {n: "x" if n in "xy" else "n000" for pair in chain for n in pair}
+    ways = {(r.a, r.b): r.d for r in graph.reach(links).collect()}
+    assert ways["x", "x"] == 2 and ways["n000", "n040"] == 40 and ("n040", "n000") not in ways
+    spans = [("t", f"s{k}", f"s{k - 1}" if k else "") for k in range(40)] + [("t", "lost", "gone"), ("u", "c", "d"), ("u", "d", "c")]
+    shape = {r.trace_id: (r.depth, r.fan_out) for r in graph.trace_structure(spark.createDataFrame(spans, "trace_id string, span_id string, parent_span_id string")).collect()}
+    assert shape == {"t": (40, pytest.approx(39 / 40)), "u": (0, 0.0)}
+
+
+def test_log_text(spark):
+    lines = ["[INFO]: ready traceback", "id1234567890 ok", "2024-05-01T10:00:00.123Z WARNING: x disk-full", "\x1b[31mError\x1b[0m no", "took 12.5:30ms, at 10:22 code 0xDEADBEEF deadBEEF99  end"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    found = {r.i: (r.t, r.m) for r in rows.select("i", T.tokens(F.col("line")).alias("t"), T.template(F.col("line")).alias("m")).collect()}
+    assert found[0][0] == ["ready", "traceback"] and found[1][0] == ["id", "ok"] and found[2][0] == ["disk-full"] and found[3][0] == ["no"]
+    marked = [re.sub(r"\b\d[\d.:,_-]*\b", "<N>", re.sub(r"\b[0-9a-f]{8,}\b", "<H>", x, flags=re.I)) for x in lines]
+    assert [found[i][1] for i in range(5)] == [re.sub(r"\s+", " ", x).strip()[:200] for x in marked] and " <N> code 0xDEADBEEF <H> end" in marked[4].replace("  ", " ")
+
+
+def test_clusters_hold_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.05, (n, 2)) for c, n in ((0, 70), (3, 20), (9, 10))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>").repartition(4)
+    groups = M.gathered(rows, x[[0, 5, 75, 95]], "v").toPandas()
+    assert groups["n"].sum() == 100 and np.allclose(np.stack(groups["total"].to_list()).sum(axis=0), x.sum(axis=0))
+    table = M.cluster_table(groups, range(2, 4))
+    assert table[table.chosen]["k"].tolist() == [3]
+    whole = M.inertia(groups["n"].to_numpy(float), np.stack(groups["total"].to_list()), groups["square"].to_numpy(), np.zeros(len(groups), int))
+    assert whole == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())

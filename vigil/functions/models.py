@@ -142,12 +142,38 @@ def openmax(rows: DataFrame, centres: DataFrame, tails: DataFrame, id_: str, key
     return out.select(id_, (-F.col("b.k")).alias("best"), F.round(known, 6).alias("known"), F.round(1 - F.col("b.r"), 6).alias("unknown"))
 
 
-def linkage_labels(x: np.ndarray, ks) -> dict[int, np.ndarray]:
-    """Average-linkage clusters at each size, by Lance and Williams' update of a distance matrix."""
-    n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+def gathered(rows: DataFrame, leaders: np.ndarray, vector: str) -> DataFrame:
+    """leader, n, total (the sum of the vectors) and square (of their squared lengths) of the rows nearest to each leader, summed in each partition first."""
+
+    def run(frames):
+        k, dim = leaders.shape
+        n, total, square = np.zeros(k, int), np.zeros((k, dim)), np.zeros(k)
+        for f in frames:
+            if len(f):
+                x = np.stack(f[vector].to_list())
+                at = ((x**2).sum(axis=1)[:, None] - 2 * x @ leaders.T + (leaders**2).sum(axis=1)[None]).argmin(axis=1)
+                n += np.bincount(at, minlength=k)
+                np.add.at(total, at, x)
+                square += np.bincount(at, (x**2).sum(axis=1), minlength=k)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"leader": some, "n": n[some], "total": list(total[some]), "square": square[some]})
+
+    parts = rows.select(vector).mapInPandas(run, "leader long, n long, total array<double>, square double")
+    whole = parts.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("square").alias("square"))
+    cells = parts.select("leader", F.posexplode("total").alias("i", "x")).groupBy("leader", "i").agg(F.sum("x").alias("x"))
+    packed = cells.groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("total"))
+    return whole.join(packed, "leader")
+
+
+def _between(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+
+
+def linkage_labels(x: np.ndarray, ks, weight: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """Average-linkage clusters at each size, by Lance and Williams' update of a distance matrix. weight: how many rows each point stands for."""
+    n, d = len(x), _between(x)
     np.fill_diagonal(d, np.inf)
-    size, member, out = np.ones(n), [[i] for i in range(n)], {}
+    size, member, out = np.ones(n) if weight is None else weight.astype(float), [[i] for i in range(n)], {}
     alive = list(range(n))
     while len(alive) > 1:
         if len(alive) in ks:
@@ -167,36 +193,39 @@ def linkage_labels(x: np.ndarray, ks) -> dict[int, np.ndarray]:
     return out
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+def silhouette(x: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> float:
     if len(set(labels)) < 2:
         return -1.0
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    names = np.unique(labels)
-    mean = np.stack([d[:, labels == c].sum(axis=1) for c in names], axis=1)
-    size = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    rows = np.arange(len(x))
-    a = np.where(size[own] > 1, mean[rows, own] / np.maximum(size[own] - 1, 1), 0)
-    other = mean / size
+    w = np.ones(len(x)) if weight is None else weight
+    d, names = _between(x), np.unique(labels)
+    total = np.stack([(d[:, labels == c] * w[labels == c]).sum(axis=1) for c in names], axis=1)
+    size = np.array([w[labels == c].sum() for c in names])
+    own, rows = np.searchsorted(names, labels), np.arange(len(x))
+    a = np.where(size[own] > 1, total[rows, own] / np.maximum(size[own] - 1, 1), 0)
+    other = total / size
     other[rows, own] = np.inf
     b = other.min(axis=1)
-    return float(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
+    return float(np.average(np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0), weights=w))
 
 
-def inertia(x: np.ndarray, labels: np.ndarray) -> float:
-    return float(sum(((x[labels == c] - x[labels == c].mean(axis=0)) ** 2).sum() for c in set(labels)))
+def inertia(n: np.ndarray, total: np.ndarray, square: np.ndarray, labels: np.ndarray) -> float:
+    """The sum of squares around the means of clusters, from the sizes, sums and squared lengths of their parts."""
+    return float(sum(square[labels == c].sum() - (total[labels == c].sum(axis=0) ** 2).sum() / n[labels == c].sum() for c in set(labels)))
 
 
-def cluster_table(x: np.ndarray, ks, references: int = 3, seed: int = 42) -> pd.DataFrame:
-    """Silhouette and gap of each k, and the k of the first largest silhouette."""
+def cluster_table(groups: pd.DataFrame, ks, references: int = 3, seed: int = 42) -> pd.DataFrame:
+    """Silhouette and gap of each k, and the k of the first largest silhouette. groups: n, total, square."""
+    groups = groups.sort_values("leader")
+    n, total, square = groups["n"].to_numpy(float), np.stack(groups["total"].to_list()), groups["square"].to_numpy()
+    x = total / n[:, None]
     ks = [k for k in ks if 2 <= k <= len(x) - 1]
-    labels, rng = linkage_labels(x, set(ks)), np.random.default_rng(seed)
-    draws = [linkage_labels(y, set(ks)) | {"x": y} for y in (rng.uniform(x.min(axis=0), x.max(axis=0), x.shape) for _ in range(references))]
-    rows = []
+    labels, rng = linkage_labels(x, set(ks), n), np.random.default_rng(seed)
+    draws = [(y, linkage_labels(y, set(ks))) for y in (rng.uniform(x.min(axis=0), x.max(axis=0), x.shape) for _ in range(references))]
+    rows, ones = [], np.ones(len(x))
     for k in ks:
-        logs = np.array([log(max(inertia(d["x"], d[k]), 1e-10)) for d in draws])
-        gap = logs.mean() - log(max(inertia(x, labels[k]), 1e-10))
-        rows.append((k, silhouette(x, labels[k]), gap, logs.std() * (1 + 1 / references) ** 0.5))
+        logs = np.array([log(max(inertia(ones, y, (y**2).sum(axis=1), found[k]) * n.sum() / len(x), 1e-10)) for y, found in draws])
+        gap = logs.mean() - log(max(inertia(n, total, square, labels[k]), 1e-10))
+        rows.append((k, silhouette(x, labels[k], n), gap, logs.std() * (1 + 1 / references) ** 0.5))
     out = pd.DataFrame(rows, columns=["k", "silhouette", "gap", "gap_se"])
     return out.assign(k=out["k"].astype("int32"), chosen=out.index == out["silhouette"].idxmax()).round(6)
 

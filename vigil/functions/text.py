@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Level words and what a token is stripped of.
+# Level words, what a line is stripped of before it is cut into tokens, and what its template has marks for.
 ERROR = r"(?i)\b(error|critical|fatal|severe|emergency)\b"
 WARN = r"(?i)\b(warn|warning)\b"
-INFO = r"(?i)\b(info|debug|trace|notice)\b"
-NOISE = r"(?i)(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\b\d{10,13}\b|error|warning|warn|info|debug|critical|fatal|trace|\x1b\[[0-9;]*m)"
+NOISE = r"(?i)(?:\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{10,13}|\[?(?:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\]?|\x1B\[[0-9;]*m)"
+HEXADECIMAL, NUMBER = r"(?i)\b[0-9a-f]{8,}\b", r"\b\d[\d.:,_-]*\b"
 
 
 def level(level_: Column, body: Column) -> Column:
@@ -24,8 +24,7 @@ def level(level_: Column, body: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """Lower-case tokens of two or more characters, without times, levels and colour codes."""
-    bare = F.trim(F.regexp_replace(line, NOISE, " "))
-    return F.filter(F.transform(F.split(bare, r"\s+"), F.lower), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(F.regexp_replace(line, NOISE, " ")), F.lit(r"\S{2,}"), F.lit(0))
 
 
 def letters(line: Column) -> Column:
@@ -33,8 +32,8 @@ def letters(line: Column) -> Column:
 
 
 def template(line: Column) -> Column:
-    """A line with hexadecimal and decimal numbers as marks, white space collapsed, 200 characters at most."""
-    marked = F.regexp_replace(F.regexp_replace(line, r"\b0x[0-9a-fA-F]+\b|\b[0-9a-f]{8,}\b", "<H>"), r"\d+", "<N>")
+    """A line with marks for runs of hexadecimal digits and for numbers, white space collapsed, 200 characters at most."""
+    marked = F.regexp_replace(F.regexp_replace(line, HEXADECIMAL, "<H>"), NUMBER, "<N>")
     return F.substring(F.trim(F.regexp_replace(marked, r"\s+", " ")), 1, 200)
 
 
@@ -61,14 +60,3 @@ def duration(text: Column) -> Column:
     n = F.regexp_extract(text, r"^([0-9.]+)(ms|s|m|h)$", 1).try_cast("double")
     unit = F.regexp_extract(text, r"^([0-9.]+)(ms|s|m|h)$", 2)
     return n * F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).when(unit == "h", 3600.0)
-
-
-def scenario(episode: Column) -> Column:
-    """The middle parts of an episode id: without its first and its last two."""
-    parts = F.split(episode, "_")
-    return F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 3, F.lit(0))), "_")
-
-
-def is_call_error(http: Column, grpc: Column) -> Column:
-    """An HTTP status of 4xx or 5xx, or a gRPC status other than OK."""
-    return F.coalesce(F.substring(http, 1, 1).isin("4", "5"), F.lit(False)) | F.coalesce(~grpc.isin("0", "OK", "ok", "", "UNSET"), F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vigil.sources.stored import stored
+
 
 def call_edges(spans: DataFrame, services: DataFrame | None = None) -> DataFrame:
     """One row for each call between two services: a span joined to its parent. Roots, missing parents and calls inside a service drop out, as do services outside the list."""
@@ -54,30 +56,48 @@ def stats(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
     return degrees.join(F.broadcast(totals)).withColumn("density", density)
 
 
-def distances(spark, links: DataFrame, most: int = 8) -> DataFrame:
-    """Shortest undirected distances of up to `most` steps between the nodes of a small graph. links: a, b."""
-    links.createOrReplaceTempView("vigil_links")
-    return spark.sql(f"""
-      WITH RECURSIVE both AS (SELECT a, b FROM vigil_links UNION SELECT b, a FROM vigil_links),
-      walk(a, b, d) MAX RECURSION LEVEL {most + 2} AS (
-        SELECT DISTINCT a, a, 0 FROM both
-        UNION ALL
-        SELECT w.a, e.b, w.d + 1 FROM (SELECT DISTINCT a, b, d FROM walk) w JOIN both e ON w.b = e.a WHERE w.d < {most}
-      )
-      SELECT a, b, CAST(min(d) AS INT) AS d FROM walk GROUP BY a, b""")
-
-
-def trace_structure(spans: DataFrame, most: int = 32) -> DataFrame:
-    """Depth (a root has 1) and mean fan-out of each trace, over spans that a root reaches. Each level is one equi-join; levels stop when none is left, or at `most`, which also ends cycles."""
+def reach(edges_: DataFrame) -> DataFrame:
+    """All pairs (a, b) that a path of one or more edges joins, with the least number of edges d, over a graph of a catalogue's size. edges_: a, b. Known paths are joined to one another, so their length doubles each round, until nothing changes; cycles end."""
+    now = stored(edges_.select("a", "b").distinct().withColumn("d", F.lit(1)), "paths")
+    mark = None
+    while (new := tuple(now.agg(F.count(F.lit(1)), F.sum("d")).first())) != mark:
+        mark = new
+        longer = now.join(now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("e")), "b").select("a", F.col("c").alias("b"), (F.col("d") + F.col("e")).alias("d"))
+        now = stored(now.unionByName(longer).groupBy("a", "b").agg(F.min("d").alias("d")), "paths")
+    return now
+
+
+def distances(links: DataFrame) -> DataFrame:
+    """Shortest undirected distances between the nodes of a small graph that a path joins. links: a, b."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    return reach(both).select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("d")).alias("d"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its least node) of an undirected graph of any size. Each round takes the least label among a node and its neighbours, then the label of that label, so long chains need few rounds."""
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    now = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"))
+    now, changed = stored(now, "labels"), 1
+    while changed:
+        near = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        least = now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("label"))
+        jump = now.select(F.col("node").alias("label"), F.col("component").alias("further"))
+        new = stored(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("component")), "labels")
+        changed = new.where("old <> component").limit(1).count()
+        now = new.drop("old")
+    return now
+
+
+def trace_structure(spans: DataFrame) -> DataFrame:
+    """Depth (a root has 1) and mean fan-out of each trace, over spans that a root reaches. A level is one equi-join with the one before it, which is stored; levels end when none is left, and a cycle has no root."""
     kept = spans.select("trace_id", "span_id", "parent_span_id")
-    level = kept.where("parent_span_id = ''").select("trace_id", "span_id", F.lit(1).alias("depth"))
-    seen = level
     child = kept.where("parent_span_id <> ''")
-    for depth in range(2, most + 1):
-        level = child.join(level.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth"))
-        if not level.limit(1).count():
-            break
-        seen = seen.unionByName(level)
+    level, depth = stored(kept.where("parent_span_id = ''").select("trace_id", "span_id"), "level"), 1
+    seen = level.withColumn("depth", F.lit(1))
+    while level.limit(1).count():
+        depth += 1
+        level = stored(child.join(level.withColumnRenamed("span_id", "parent_span_id"), ["trace_id", "parent_span_id"]).select("trace_id", "span_id"), "level")
+        seen = seen.unionByName(level.withColumn("depth", F.lit(depth)))
     kids = child.groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).alias("kids"))
     visited = seen.join(kids, ["trace_id", "span_id"], "left")
     found = visited.groupBy("trace_id").agg(F.max("depth").alias("depth"), F.avg(F.coalesce("kids", F.lit(0))).alias("fan_out"))

@@ -74,10 +74,10 @@ def contrastive_loss(spark, d):
     return _pairs(spark, d).agg(F.round(F.avg(F.when(F.col("label") == F.col("other_label"), F.col("d") * F.col("d")).otherwise(hinge * hinge)), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT round(greatest(median(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))), 1e-8), 6) AS sigma FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 500 AND b.vec_id < 500")
+@query("WITH w AS (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 500) SELECT round(greatest(median(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))), 1e-8), 6) AS sigma FROM w a JOIN w b ON a.vec_id < b.vec_id")
 def pairwise_sigma_median(spark, d):
-    """The kernel width over a reference window, which has 500 rows at most."""
-    rows = _emb(spark, d).where("vec_id < 500").select("vec_id", "embedding")
+    """The kernel width over a window's rows, of which 500 at most are drawn, by the hash of their id."""
+    rows = _emb(spark, d).select("vec_id", "embedding").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(500)
     other = rows.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
     return rows.join(other, F.col("vec_id") < F.col("other")).agg(F.round(F.greatest(F.median(F.sqrt(V.squared_distance(F.col("embedding"), F.col("e")))), F.lit(1e-8)), 6).alias("sigma"))
 
@@ -128,9 +128,11 @@ def openmax_proba(spark, d):
 
 @query()
 def agglomerative_k(spark, d):
-    """Average-linkage clusters for each k with silhouettes, on a sample of at most 400 rows (those with the smallest hashes): the sample is the operator's bound."""
-    rows = _emb(spark, d).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).withColumn("g", F.lit(1))
-    return rows.groupBy("g").applyInPandas(lambda pdf: M.cluster_table(np.stack(pdf.sort_values("vec_id")["embedding"].to_list()), range(2, 13)), "k int, silhouette double, gap double, gap_se double, chosen boolean")
+    """Average-linkage clusters for each k with silhouettes and gaps. Every row belongs to the nearest of at most 400 leaders, whose exact sizes and sums are clustered; with fewer rows each is its own."""
+    rows = _emb(spark, d).select("vec_id", "embedding")
+    leaders = np.stack([r.embedding for r in rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(400).collect()])
+    groups = M.gathered(rows, leaders, "embedding")
+    return groups.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: M.cluster_table(pdf, range(2, 13)), "k int, silhouette double, gap double, gap_se double, chosen boolean")
 
 
 @query()

@@ -99,7 +99,7 @@ def graph_stats_basic(spark, d):
 
 LINKS = "links AS (SELECT DISTINCT 'c' || c_nationkey AS a, 's' || s_nationkey AS b FROM customer, supplier WHERE c_custkey = s_suppkey)"
 WALK = f"""WITH RECURSIVE {LINKS}, both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-walk(a, b, d) AS (SELECT a, a, 0 FROM both_ UNION SELECT w.a, e.b, w.d + 1 FROM walk w JOIN both_ e ON w.b = e.a WHERE w.d < 8),
+walk(a, b, d) AS (SELECT a, a, 0 FROM both_ UNION SELECT w.a, e.b, w.d + 1 FROM walk w JOIN both_ e ON w.b = e.a WHERE w.d < 50),
 dist AS (SELECT a, b, min(d)::INT AS d FROM walk GROUP BY a, b)"""
 
 
@@ -111,20 +111,20 @@ def _links(spark, d):
 
 @query(f"{WALK} SELECT a, b, d FROM dist")
 def graph_distances(spark, d):
-    return G.distances(spark, _links(spark, d))
+    return G.distances(_links(spark, d))
 
 
 @query(f"{WALK} SELECT a AS node, min(b) AS component FROM dist GROUP BY a")
 def graph_weak_components(spark, d):
-    return G.distances(spark, _links(spark, d)).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return G.components(_links(spark, d))
 
 
 @query(f"""{WALK}, c AS (SELECT a AS node, min(b) AS component FROM dist GROUP BY a),
 top AS (SELECT component, count(*) AS n FROM c GROUP BY ALL ORDER BY n DESC, component LIMIT 1)
 SELECT top.component, any_value(n) AS size, max(d) AS diameter FROM top JOIN c USING (component) JOIN dist ON dist.a = c.node GROUP BY ALL""")
 def graph_diameter(spark, d):
-    dist = G.distances(spark, _links(spark, d))
-    comps = dist.groupBy(F.col("a").alias("a")).agg(F.min("b").alias("component"))
+    dist = G.distances(_links(spark, d))
+    comps = G.components(_links(spark, d)).withColumnRenamed("node", "a")
     top = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "component").limit(1)
     return top.join(comps, "component").join(dist, "a").groupBy("component", "size").agg(F.max("d").alias("diameter"))
 

@@ -1,8 +1,9 @@
-"""Knowledge-graph queries over triples (s, p, o, o_num). Closures are recursive and bounded in depth, so cycles end."""
+"""Knowledge-graph queries over triples (s, p, o, o_num). Closures double the paths' length each round until nothing changes, so cycles end."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.graph import reach
 from vigil.plans.registry import query
 from vigil.sources.adapters import table
 
@@ -34,18 +35,13 @@ TRIPLES = """tr AS (SELECT 'n' || n_nationkey AS s, 'subClassOf' AS p, 'r' || n_
 UNION ALL SELECT 's' || s_suppkey, 'type', 'n' || s_nationkey, NULL FROM supplier UNION ALL SELECT 's' || s_suppkey, 'weight', NULL, s_acctbal / 10000 FROM supplier
 UNION ALL SELECT 'n' || n_nationkey, 'causes', 'n' || (n_nationkey + 5), NULL FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 'n' || n_nationkey, 'affects', 'svc' || n_regionkey, NULL FROM nation WHERE n_nationkey % 5 = 2
 UNION ALL SELECT 'n' || n_nationkey, 'leadTime', NULL, n_nationkey * 30.0::DOUBLE FROM nation)"""
-SUB = "sub(s, o, d) AS (SELECT s, o, 1 FROM tr WHERE p = 'subClassOf' UNION SELECT x.s, t.o, x.d + 1 FROM sub x JOIN tr t ON t.s = x.o AND t.p = 'subClassOf' WHERE x.d < 12)"
-CAUSE = "cau(s, o, d) AS (SELECT s, o, 1 FROM tr WHERE p = 'causes' UNION SELECT x.s, t.o, x.d + 1 FROM cau x JOIN tr t ON t.s = x.o AND t.p = 'causes' WHERE x.d < 12)"
-
-
-def closure(facts: DataFrame, predicate: str, most: int = 12) -> DataFrame:
-    """All pairs that a predicate reaches in 1 to `most` steps, with the least number. The edges are those of a catalogue of classes."""
-    spark = facts.sparkSession
-    facts.where(F.col("p") == predicate).select("s", "o").distinct().createOrReplaceTempView("vigil_edges")
-    return spark.sql(f"""
-      WITH RECURSIVE walk(s, o, d) MAX RECURSION LEVEL {most + 2} AS (
-        SELECT s, o, 1 FROM vigil_edges UNION ALL SELECT w.s, e.o, w.d + 1 FROM walk w JOIN vigil_edges e ON e.s = w.o WHERE w.d < {most})
-      SELECT s, o, CAST(min(d) AS INT) AS d FROM walk GROUP BY s, o""")
+SUB = "sub(s, o, d) AS (SELECT s, o, 1 FROM tr WHERE p = 'subClassOf' UNION SELECT x.s, t.o, x.d + 1 FROM sub x JOIN tr t ON t.s = x.o AND t.p = 'subClassOf' WHERE x.d < 60)"
+CAUSE = "cau(s, o, d) AS (SELECT s, o, 1 FROM tr WHERE p = 'causes' UNION SELECT x.s, t.o, x.d + 1 FROM cau x JOIN tr t ON t.s = x.o AND t.p = 'causes' WHERE x.d < 60)"
+
+
+def closure(facts: DataFrame, predicate: str) -> DataFrame:
+    """All pairs that a predicate reaches, with the least number of steps. The edges are those of a catalogue of classes."""
+    return reach(facts.where(F.col("p") == predicate).select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("s"), F.col("b").alias("o"), "d")
 
 
 @query(f"WITH RECURSIVE {TRIPLES}, {SUB} SELECT s, o, min(d)::INT AS d FROM sub GROUP BY s, o")

@@ -157,7 +157,7 @@ def _entropy_sql(tokens: str) -> str:
 SELECT service_name, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 5) AS entropy FROM c GROUP BY ALL"""
 
 
-@query(_entropy_sql(r"list_filter(list_transform(string_split_regex(trim(regexp_replace(body, '(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\b\d{10,13}\b|error|warning|warn|info|debug|critical|fatal|trace|\x1b\[[0-9;]*m)', ' ', 'gi')), '\s+'), lambda x: lower(x)), lambda x: length(x) >= 2)"))
+@query(_entropy_sql(r"list_filter(list_transform(string_split_regex(regexp_replace(body, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{10,13}|\[?(?:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\]?|\x1B\[[0-9;]*m', ' ', 'gi'), '\s+'), lambda x: lower(x)), lambda x: length(x) >= 2)"))
 def lexical_entropy(spark, d):
     rows = logs(spark, d).select("service_name", F.explode(T.tokens(F.col("body"))).alias("tok"))
     return T.entropy(rows, ["service_name"], "tok").withColumn("entropy", F.round("entropy", 5))
@@ -169,7 +169,7 @@ def lexical_entropy_alpha(spark, d):
     return T.entropy(rows, ["service_name"], "tok").withColumn("entropy", F.round("entropy", 5))
 
 
-@query(f"""WITH {LOGS} SELECT substring(trim(regexp_replace(regexp_replace(regexp_replace(body, '\\b0x[0-9a-fA-F]+\\b|\\b[0-9a-f]{{8,}}\\b', '<H>', 'g'), '\\d+', '<N>', 'g'), '\\s+', ' ', 'g')), 1, 200) AS template, count(*) AS n FROM logs GROUP BY ALL""")
+@query(f"""WITH {LOGS} SELECT substring(trim(regexp_replace(regexp_replace(regexp_replace(body, '(?i)\\b[0-9a-f]{{8,}}\\b', '<H>', 'g'), '\\b\\d[\\d.:,_-]*\\b', '<N>', 'g'), '\\s+', ' ', 'g')), 1, 200) AS template, count(*) AS n FROM logs GROUP BY ALL""")
 def log_template_counts(spark, d):
     return logs(spark, d).groupBy(T.template(F.col("body")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigil.operators.drift import Watch, advance
+from vigil.sources.stored import folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OWN: list[str] = []
-
-
-def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one of this process where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="vigil-stream-"))
-            atexit.register(shutil.rmtree, _OWN[0], True)
-        root = _OWN[0]
-    return f"{root.rstrip('/')}/vigil/{tag}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
