@@ -74,10 +74,10 @@ def precursor_middle_k(spark, d):
     return S.window_of(signal(spark, d).where("value IS NOT NULL"), 8, "middle")
 
 
-@query(f"""WITH {SIGNAL} SELECT episode_id, t, service, round(0.5 * coalesce(value, 0) + 0.3 * coalesce(lag(value, 2) OVER w, 0) + 0.2 * coalesce(lag(value, 4) OVER w, 0), 6) AS value FROM signal WINDOW w AS (PARTITION BY episode_id, service ORDER BY t)""")
+@query(f"""WITH {SIGNAL} SELECT episode_id, t, service, round(0.5 * coalesce(value, 0) + 0.3 * coalesce(lag(value, 2) OVER w, 0) + 0.2 * coalesce(lag(value, 4) OVER w, 0), 8) AS value FROM signal WINDOW w AS (PARTITION BY episode_id, service ORDER BY t)""")
 def causal_conv(spark, d):
     order = W.partitionBy("episode_id", "service").orderBy("t")
-    return signal(spark, d).withColumn("value", F.round(S.causal_conv(F.col("value"), [0.5, 0.3, 0.2], 2, order), 6))
+    return signal(spark, d).withColumn("value", F.round(S.causal_conv(F.col("value"), [0.5, 0.3, 0.2], 2, order), 8))
 
 
 @query(f"""WITH {SIGNAL}, x AS (SELECT episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE t < 10), y AS (SELECT episode_id - 1 AS episode_id, service, t, coalesce(value, 0) AS value FROM signal WHERE t >= 20 AND episode_id - 1 IN (SELECT episode_id FROM signal)),
@@ -101,7 +101,7 @@ def _envelope(rows):
 
 @query(f"""WITH {SIGNAL}, {ENVELOPE}, m AS (SELECT episode_id, service, avg(value) AS mu FROM signal WHERE t < 15 GROUP BY ALL),
 o AS (SELECT a.episode_id, a.t, a.service, a.value + 0.5 * (coalesce(b.value, mu) - mu) AS value FROM signal a JOIN signal b ON b.episode_id = a.episode_id + 10 AND b.t = a.t AND b.service = a.service JOIN m ON m.episode_id = b.episode_id AND m.service = b.service)
-SELECT episode_id, t, service, round(greatest(least(value, p99), p01), 6) AS value, coalesce(value > p99 OR value < p01, false) AS clipped FROM o JOIN env USING (service) WHERE value IS NOT NULL""")
+SELECT episode_id, t, service, round(greatest(least(value, p99), p01), 9) AS value, coalesce(value > p99 OR value < p01, false) AS clipped FROM o JOIN env USING (service) WHERE value IS NOT NULL""")
 def overlay_residual(spark, d):
     """An episode plus half of another's departure from its normal mean, inside the envelope."""
     rows = signal(spark, d)
@@ -109,7 +109,7 @@ def overlay_residual(spark, d):
     mean = rows.where("t < 15").groupBy((F.col("episode_id") - 10).alias("episode_id"), "service").agg(F.avg("value").alias("mu"))
     out = rows.join(other, ["episode_id", "t", "service"]).join(mean, ["episode_id", "service"])
     out = out.withColumn("value", F.col("value") + 0.5 * (F.coalesce("b", "mu") - F.col("mu"))).where("value IS NOT NULL")
-    return S.clip(out, _envelope(rows), ["service"]).select("episode_id", "t", "service", F.round("value", 6).alias("value"), "clipped")
+    return S.clip(out, _envelope(rows), ["service"]).select("episode_id", "t", "service", F.round("value", 9).alias("value"), "clipped")
 
 
 @query(f"WITH {SIGNAL}, {ENVELOPE} SELECT service, round(avg((coalesce(value > p99 OR value < p01, false))::INT), 6) AS fraction, round(sum(greatest(least(value, p99), p01)) FILTER (WHERE value IS NOT NULL), 4) AS total FROM signal JOIN env USING (service) GROUP BY ALL")
