@@ -49,24 +49,29 @@ def marked(text: Column) -> Column:
     own = NUMBER + NAME + UNIT + MARK
     text = F.when(any_of(text, *own), F.translate(text, own, "")).otherwise(text)
     numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
-    named = F.regexp_replace(numbered, rf"(?<=[\p{{Ll}},;]\x20)\p{{Lu}}{_NOT_SPACE}*", NAME)
+    named = F.regexp_replace(numbered, rf"\p{{Lu}}(?<=[\p{{Ll}},;]\x20\p{{Lu}}){_NOT_SPACE}*", NAME)
     unit = rf"(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
     return F.regexp_replace(named, rf"({NUMBER}\x20){unit}{_NOT_SPACE}*", f"$1{UNIT}")
 
 
-def cased(marked: Column) -> Column:
-    """The words of a marked text without signs. Words without a letter or digit drop out; a text without any has one empty word."""
+def signless(marked: Column) -> Column:
+    """A marked text without signs."""
     unit = rf"({NUMBER}[\x09-\x0D])((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
     both = F.when(any_of(marked, *(NUMBER + c for c in "\t\n\x0b\x0c\r")), F.regexp_replace(marked, unit, f"$1{MARK}$2")).otherwise(marked)
-    bare = F.regexp_replace(both, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{MARK}\x20\x09-\x0D]+", "")
-    return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+    return F.regexp_replace(both, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{MARK}\x20\x09-\x0D]+", "")
 
 
-def template(word: Column, wide: bool = False) -> Column:
-    """The template word of a cased one: in lower case. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
+def split_words(text: Column) -> Column:
+    """The words in lower case; a text without any has one empty word."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+
+
+def template(bare: Column, wide: bool = False) -> Column:
+    """The template words of a marked text without signs. Words without a letter or digit have dropped out. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
     if wide:
-        return F.when(F.startswith(word, F.lit(MARK)), UNIT).when(F.rlike(word, F.lit(r"^\p{Lu}")), NAME).otherwise(F.lower(word))
-    return F.lower(F.ltrim(word, F.lit(MARK)))
+        bare = F.when(F.contains(bare, F.lit(MARK)), F.regexp_replace(bare, f"{MARK}{_NOT_SPACE}*", UNIT)).otherwise(bare)
+        return split_words(F.regexp_replace(bare, rf"(^|{SPACE_CLASS})\p{{Lu}}{_NOT_SPACE}*", f"$1{NAME}"))
+    return split_words(F.when(F.contains(bare, F.lit(MARK)), F.translate(bare, MARK, "")).otherwise(bare))
 
 
 def is_slot(word: Column) -> Column:
@@ -75,8 +80,7 @@ def is_slot(word: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """The words without case and signs, in the same places as the template's."""
-    bare = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
-    return F.split(F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+    return split_words(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
@@ -90,11 +94,10 @@ def window_hash(hashed: str, size: int) -> Column:
 
 
 def forms(rows: DataFrame, *kept: str) -> DataFrame:
-    """rows (text, marked) with the template words, the wide ones and the folded ones, and the hashes of each."""
-    made = rows.select(*kept, cased(F.col("marked")).alias("cased"), folded(F.col("text")).alias("fold"))
-    made = made.select("*", F.transform("cased", lambda w: template(w)).alias("words"), F.transform("cased", lambda w: template(w, True)).alias("wide"))
-    found = {"words_h": F.transform("cased", lambda w: F.xxhash64(template(w))), "wide_h": F.transform("cased", lambda w: F.xxhash64(template(w, True))), "fold_h": F.transform("fold", lambda w: F.xxhash64(w))}
-    return made.withColumns(found)  # a hash of each word, so that a window's is one of numbers and no words are copied
+    """rows (text, marked) with the template words, the wide ones and the folded ones, and a hash of each word, so that a window's is one of numbers and no words are copied."""
+    made = rows.select(*kept, signless(F.col("marked")).alias("bare"), folded(F.col("text")).alias("fold"))
+    made = made.select("*", template(F.col("bare")).alias("words"), template(F.col("bare"), True).alias("wide"))
+    return made.withColumns({f"{k}_h": F.transform(k, lambda w: F.xxhash64(w)) for k in ("words", "wide", "fold")})
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
