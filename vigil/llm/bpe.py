@@ -160,7 +160,7 @@ class WordBPE:
         self.entries = entries
 
     def split(self, text: str) -> list[str]:
-        """Words between white space, those of ASCII in lower case; special strings whole, with a space before them that no word has (a text may also hold one in upper case, which is a plain word)."""
+        """Words between white space, in lower case where the whole text is ASCII; special strings whole, with a space before them that no word has (a text may also hold one in upper case, which is a plain word)."""
         if self.cut and "<|" in text:
             out = []
             for k, piece in enumerate(self.cut.split(text)):
@@ -169,16 +169,13 @@ class WordBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii():
-            text = text.lower()
-            return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
-        words = [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
-        return [w.lower() if w.isascii() else w for w in words]
+        text = text.lower() if text.isascii() else text
+        return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
 
     def _cut(self, word: str) -> list[bytes]:
         """The pre-tokens of a word, as bytes."""
         if word.isascii():
-            return [p.encode() for p in self.parts.findall(word)]
+            return [p.encode() for p in self.parts.findall(word.lower())]
         return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
 
     def learn(self, new: list[str]) -> None:
