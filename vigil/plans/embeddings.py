@@ -142,3 +142,18 @@ def ovr_logreg_auroc(spark, d):
     classes = rows.select("label").distinct()
     spread = rows.join(F.broadcast(classes.select(F.col("label").alias("target"))))
     return spread.groupBy("target").applyInPandas(lambda pdf: M.one_vs_rest(pdf), "target int, auroc double, n_pos int, n_neg int")
+
+
+@query("""WITH x AS (SELECT vec_id, label, vec_id % 8 AS bin, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) g(i)), u AS (SELECT vec_id, label, bin, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM x),
+own AS (SELECT label, i, avg(v) AS m FROM u WHERE bin < 2 AND label % 4 <> 3 GROUP BY ALL), whole AS (SELECT i, avg(v) AS m FROM u WHERE bin < 2 AND label % 4 <> 3 GROUP BY ALL),
+c AS (SELECT l.label, w.i, coalesce(o.m, w.m) AS m FROM (SELECT DISTINCT label FROM u) l CROSS JOIN whole w LEFT JOIN own o ON o.label = l.label AND o.i = w.i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM c GROUP BY ALL),
+d AS (SELECT u.label, u.bin, u.vec_id, 1 - sum(v * m) / any_value(n) AS d FROM u JOIN c USING (label, i) JOIN n ON n.label = u.label GROUP BY ALL)
+SELECT label, bin::INT AS bin, round(avg(d), 6) AS score FROM d GROUP BY ALL""")
+def semantic_anomaly_score(spark, d):
+    """The mean cosine distance of each service's lines (by bin) to its baseline centroid, that of its first quarter of bins, or to the whole baseline's where it has none (here every fourth service)."""
+    rows = _emb(spark, d).withColumn("bin", (F.col("vec_id") % 8).cast("int")).withColumn("u", V.unit(F.col("embedding")))
+    base = rows.where("bin < 2 AND label % 4 <> 3")
+    own, whole = V.centroids(base, "label", "u"), V.centroids(base.withColumn("all", F.lit(1)), "all", "u").select(F.col("centroid").alias("whole"))
+    both = rows.join(F.broadcast(own), "label", "left").join(F.broadcast(whole)).withColumn("c", F.coalesce("centroid", "whole"))
+    distance = 1 - V.dot(F.col("u"), F.col("c")) / F.sqrt(V.dot(F.col("c"), F.col("c")))
+    return both.groupBy("label", "bin").agg(F.round(F.avg(distance), 6).alias("score"))

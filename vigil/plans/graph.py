@@ -152,3 +152,24 @@ def trace_depth_fanout(spark, d):
 SELECT service_name, count(*) AS n, round(sum(duration_s), 3) AS total FROM r WHERE n = 1 GROUP BY ALL""")
 def span_dedup(spark, d):
     return G.dedup_spans(spans(spark, d)).groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_s"), 3).alias("total"))
+
+
+ENDS = f"WITH {CALLS}, big AS (SELECT * FROM edges WHERE volume > 20), known AS (SELECT node FROM nodes WHERE node <> 'BUILDING'), ends AS (SELECT src AS node FROM big UNION SELECT dst FROM big)"
+
+
+def _found(spark, d, rule):
+    known = _nodes(spark, d).where("node <> 'BUILDING'")
+    none = spark.createDataFrame([], "node string")
+    return G.violations(_edges(spark, d).where("volume > 20"), known, none, 0).where(F.col("rule") == rule).select(F.col("entity").alias("node"))
+
+
+@query(f"{ENDS} SELECT node FROM known WHERE node NOT IN (SELECT node FROM ends)")
+def graph_isolated_nodes(spark, d):
+    """Known services that no edge of enough volume touches."""
+    return _found(spark, d, "isolated")
+
+
+@query(f"{ENDS} SELECT node FROM ends WHERE node NOT IN (SELECT node FROM known)")
+def graph_phantom_edges(spark, d):
+    """Ends of edges that are no known service."""
+    return _found(spark, d, "phantom")

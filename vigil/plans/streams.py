@@ -7,8 +7,12 @@ from vigil.sources.adapters import table
 from vigil.streaming import runs as R
 
 
+LATE = "60 days"
+
+
 def _events(spark, d):
-    return R.source(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    """Events as a stream. Rows more than LATE behind the latest one are dropped, and with them goes the state of what they belong to."""
+    return R.source(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE)
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts)) / 1000000 AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -34,13 +38,15 @@ def stream_session(spark, d):
 
 @query("SELECT DISTINCT user_id, event_type, day(ts)::INT AS day FROM events")
 def stream_dedup(spark, d):
-    return R.run(_events(spark, d).select("user_id", "event_type", F.dayofmonth("at").alias("day")).dropDuplicates(["user_id", "event_type", "day"]), "append")
+    """One row for each user, type and day. The day's start is in the key, so that its state goes once the watermark has passed it."""
+    rows = _events(spark, d).select("user_id", "event_type", F.window("at", "1 day").alias("w")).dropDuplicates(["user_id", "event_type", "w"])
+    return R.run(rows.select("user_id", "event_type", F.dayofmonth("w.start").alias("day")), "append").distinct()
 
 
 @query("SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 hour")
 def stream_interval_join(spark, d):
-    views = _events(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("at").alias("seen")).withWatermark("seen", "60 days")
-    buys = _events(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("buyer"), F.col("at").alias("bought")).withWatermark("bought", "60 days")
+    views = _events(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("at").alias("seen"))
+    buys = _events(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("buyer"), F.col("at").alias("bought"))
     joined = views.join(buys, F.expr("user_id = buyer AND bought >= seen AND bought <= seen + INTERVAL 6 hours"))
     return R.run(joined.select("view_id", "purchase_id"), "append")
 
