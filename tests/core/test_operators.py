@@ -183,3 +183,10 @@ def test_clusters_hold_every_row(spark):
     assert table[table.chosen]["k"].tolist() == [3]
     whole = M.inertia(groups["n"].to_numpy(float), np.stack(groups["total"].to_list()), groups["square"].to_numpy(), np.zeros(len(groups), int))
     assert whole == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+
+
+def test_clusters_with_empty_partitions(spark):
+    x = np.arange(12.0).reshape(6, 2)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>").repartition(1).union(spark.createDataFrame([], "id int, v array<double>"))
+    groups = M.gathered(rows, x[[0, 3]], "v").toPandas()  # Spark splits a large file so that some splits hold no row
+    assert groups["n"].sum() == 6
