@@ -16,6 +16,19 @@ def filled(value: str = "value", keys=SERIES) -> Column:
     return F.coalesce(back, F.first(value, True).over(order.rowsBetween(0, W.unboundedFollowing)))
 
 
+def ordered_mean(value: str = "value", order: str = "t") -> Column:
+    """The mean of a few known values, added from the last step to the first in every run, so that what ties with a bound stays on one side of it."""
+    known = F.sort_array(F.filter(F.collect_list(F.struct(order, value)), lambda s: s[value].isNotNull()), False)
+    return F.aggregate(known, F.lit(0.0), lambda s, x: s + x[value]) / F.nullif(F.size(known), F.lit(0))
+
+
+def half_away(value: Column, digits: int) -> Column:
+    """value rounded in binary, halves away from zero, as the SQL's engine does; round() of Spark goes by the decimal digits."""
+    scaled = value * F.lit(10.0**digits)
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole) / F.lit(10.0**digits)
+
+
 def cascade(signal: DataFrame, train: Column, group: str) -> DataFrame:
     """Fill by the episode's median, the training median of (group, service), the training median of the service, then 0."""
     own = F.median("value").over(W.partitionBy(*SERIES))

@@ -106,10 +106,10 @@ def overlay_residual(spark, d):
     """An episode plus half of another's departure from its normal mean, inside the envelope."""
     rows = signal(spark, d)
     other = rows.select((F.col("episode_id") - 10).alias("episode_id"), "t", "service", F.col("value").alias("b"))
-    mean = rows.where("t < 15").groupBy((F.col("episode_id") - 10).alias("episode_id"), "service").agg(F.avg("value").alias("mu"))
+    mean = rows.where("t < 15").groupBy((F.col("episode_id") - 10).alias("episode_id"), "service").agg(S.ordered_mean().alias("mu"))
     out = rows.join(other, ["episode_id", "t", "service"]).join(mean, ["episode_id", "service"])
     out = out.withColumn("value", F.col("value") + 0.5 * (F.coalesce("b", "mu") - F.col("mu"))).where("value IS NOT NULL")
-    return S.clip(out, _envelope(rows), ["service"]).select("episode_id", "t", "service", F.round("value", 9).alias("value"), "clipped")
+    return S.clip(out, _envelope(rows), ["service"]).select("episode_id", "t", "service", S.half_away(F.col("value"), 9).alias("value"), "clipped")
 
 
 @query(f"WITH {SIGNAL}, {ENVELOPE} SELECT service, round(avg((coalesce(value > p99 OR value < p01, false))::INT), 6) AS fraction, round(sum(greatest(least(value, p99), p01)) FILTER (WHERE value IS NOT NULL), 4) AS total FROM signal JOIN env USING (service) GROUP BY ALL")
