@@ -42,3 +42,24 @@ def test_stages_keep_the_columns(spark):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, PATH).columns == docs.columns
         assert stage(spark, docs.limit(0), PATH).count() == 0
+
+
+def test_workers_return_memory():
+    """What a partition freed is not held on to, even below a block that lives on."""
+    from vigil.llm.common import returned
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    kept = []
+
+    def run(batches):
+        most = [bytes([k % 255 + 1]) * 100_000 for k in range(3000)]
+        kept.append(bytes([1]) * 100_000)
+        yield resident()
+        del most
+
+    before = resident()
+    (peak,) = returned(run)(iter([]))
+    assert peak > before + 200 and resident() < before + 100

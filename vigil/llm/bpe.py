@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import python_chunks
+from vigil.llm.common import python_chunks, returned
 
 #: Words in the table of a partition, about 350 bytes each.
 CACHE_WORDS = 300_000
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             found = bpe.encode(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returned(run), "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

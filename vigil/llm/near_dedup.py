@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.bagminhash import signatures, similarity
-from vigil.llm.common import chunks, free_name, materialize, table, text_buffers, whole_text
+from vigil.llm.common import chunks, free_name, materialize, returned, table, text_buffers, whole_text
 from vigil.llm.components import components
 from vigil.llm.substring_dedup import LAST, keyed
 from vigil.llm.wordhash import boundaries, hash_runs, hash_words, mix, run_starts
@@ -95,7 +95,7 @@ def profile(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, depth: int
                 ["doc_id", "place", "th", "n", "k1", "k2", "bands", "sig"],
             )
 
-    found = keyed(docs).mapInArrow(run, "doc_id long, place long, th long, n long, k1 long, k2 long, bands array<long>, sig binary")
+    found = keyed(docs).mapInArrow(returned(run), "doc_id long, place long, th long, n long, k1 long, k2 long, bands array<long>, sig binary")
     return found.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -110,7 +110,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
 
     left = pairs.join(texts.select(F.col("node").alias("a"), "text"), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
-    return both.mapInArrow(run, "a long, b long, j double")
+    return both.mapInArrow(returned(run), "a long, b long, j double")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -200,7 +200,7 @@ def _links(rows: DataFrame, threshold: float, registers: int, size: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "guest", "node", "comp", "sig", "text").mapInArrow(run, "a long, b long")
+    return dealt.select(*keys, "guest", "node", "comp", "sig", "text").mapInArrow(returned(run), "a long, b long")
 
 
 def _blocks(rows: str, volume: str) -> Column:

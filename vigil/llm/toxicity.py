@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import python_chunks, table, whole_text
+from vigil.llm.common import python_chunks, returned, table, whole_text
 
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 20_000
@@ -185,7 +185,7 @@ def _word_counts(train: DataFrame) -> DataFrame:
         if ones or zeros:
             yield out()
 
-    return train.mapInPandas(run, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return train.mapInPandas(returned(run), "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def _phrase_counts(train: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -199,7 +199,7 @@ def _phrase_counts(train: DataFrame, weights: dict[str, float]) -> DataFrame:
         if both := list(ones.keys() | zeros.keys()):
             yield pd.DataFrame({"first": [p[0] for p in both], "second": [p[1] for p in both], "n1": [ones[p] for p in both], "n0": [zeros[p] for p in both]})
 
-    found = train.mapInPandas(run, "first string, second string, n1 long, n0 long")
+    found = train.mapInPandas(returned(run), "first string, second string, n1 long, n0 long")
     return found.groupBy("first", "second").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Lexicon:
         weights = {e: real[e][0] for e in longest(real)}
         phrases = _phrase_counts(train, weights).where(F.col("n1") / all1 <= F.col("n0") / all0).where("n0 >= 3").where(_evidence(all1, all0) >= 4).collect()
         lexicon = Lexicon(weights, {(r.first, r.second) for r in phrases})
-        rows = train.mapInPandas(_features_of(lexicon), "a double, b double, c double, toxic int").toPandas()
+        rows = train.mapInPandas(returned(_features_of(lexicon)), "a double, b double, c double, toxic int").toPandas()
         lexicon.curve = _logistic(rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy(float))
         return lexicon
     finally:
@@ -277,7 +277,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([lexicon.score(v) for v, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["row", "score", "n_hits"])
 
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("text"))
-    return given.mapInArrow(run, schema.add("score", "double").add("n_hits", "long"))
+    return given.mapInArrow(returned(run), schema.add("score", "double").add("n_hits", "long"))
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
