@@ -30,10 +30,10 @@ SIZE, LITERAL, RUN, BROADCAST = 8, 5, 3, 200_000
 SHARE = 2, 3
 #: Literal words of a window in which every capitalised word is a name.
 WIDE_LITERAL = 4
-#: One private-use character each.
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-#: Stands before a unit that is one for wide templates alone.
-MARK = "\ue003"
+#: Control characters that mark a word from the front: placeholders of both templates, then of the wide template alone (a unit, a capitalised word).
+NUMBER, NAME, UNIT, WIDE_UNIT, WIDE_NAME = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Marked words sort below it, others do not, since signs drop out.
+UNMARKED = "\x06"
 #: Units that count as such behind a number.
 UNITS = "mm cm dm m km g mg kg t l ml s ms min h hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch pounds pound euros euro dollars dollar percent degrees degree meters meter metres metre grams gram liters liter".split()
 
@@ -45,47 +45,44 @@ def any_of(text: Column, *parts: str) -> Column:
 
 
 def marked(text: Column) -> Column:
-    """The text with placeholders: for words that begin with a digit, for capitalised words behind a space that a lower-case letter, comma or semicolon precedes, and for units that a space parts from a number. A unit behind a number and other white space gets a mark."""
-    own = NUMBER + NAME + UNIT + MARK
-    text = F.when(any_of(text, *own), F.translate(text, own, "")).otherwise(text)
-    numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]{_NOT_SPACE}*", NUMBER)
-    named = F.regexp_replace(numbered, rf"\p{{Lu}}(?<=[\p{{Ll}},;]\x20\p{{Lu}}){_NOT_SPACE}*", NAME)
-    unit = rf"(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-    return F.regexp_replace(named, rf"({NUMBER}\x20){unit}{_NOT_SPACE}*", f"$1{UNIT}")
+    """The text with marks before words: those that begin with a digit, capitalised ones behind a space that a lower-case letter, comma or semicolon (no number's) precedes, and units behind a number and white space (tokens() tells those behind a space from others)."""
+    own = NUMBER + NAME + UNIT + WIDE_UNIT + WIDE_NAME
+    text = F.when(any_of(text, *own), F.translate(text, own, "-" * len(own))).otherwise(text)
+    numbered = F.regexp_replace(text, rf"(?<!{_NOT_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9]", f"{NUMBER}$0")
+    named = F.regexp_replace(numbered, r"\p{Lu}(?<=[\p{Ll},;]{1,3}\x20\p{Lu})", f"{NAME}$0")  # Java counts what it looks back at in 16-bit units; {1,3} leaves room for two a character
+    named = F.regexp_replace(named, rf"({NUMBER}{_NOT_SPACE}*\x20){NAME}", "$1")
+    unit = rf"({NUMBER}{_NOT_SPACE}*{SPACE_CLASS}+)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+    return F.regexp_replace(named, unit, f"$1{UNIT}$2")
 
 
-def signless(marked: Column) -> Column:
-    """A marked text without signs."""
-    unit = rf"({NUMBER}[\x09-\x0D])((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-    both = F.when(any_of(marked, *(NUMBER + c for c in "\t\n\x0b\x0c\r")), F.regexp_replace(marked, unit, f"$1{MARK}$2")).otherwise(marked)
-    return F.regexp_replace(both, rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{MARK}\x20\x09-\x0D]+", "")
+def tokens(marked: Column) -> Column:
+    """The words of a marked text in lower case and without signs, behind their marks. Words without a letter or digit have dropped out."""
+    both = F.when(any_of(marked, *(c + UNIT for c in "\t\n\x0b\x0c\r")), F.regexp_replace(marked, rf"([\x09-\x0D]){UNIT}", f"$1{WIDE_UNIT}")).otherwise(marked)
+    bare = F.regexp_replace(both, rf"[^\p{{L}}\p{{N}}{NUMBER}-{WIDE_UNIT}\x20\x09-\x0D]+", "")
+    lower = F.lower(F.regexp_replace(bare, rf"\p{{Lu}}(?<!{_NOT_SPACE}{{1,2}}\p{{Lu}})", f"{WIDE_NAME}$0"))
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", lower)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def split_words(text: Column) -> Column:
-    """The words in lower case; a text without any has one empty word."""
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+def folded(token: Column) -> Column:
+    """The word without its mark."""
+    return F.when(token < UNMARKED, F.substr(token, F.lit(2))).otherwise(token)
 
 
-def template(bare: Column, wide: bool = False) -> Column:
-    """The template words of a marked text without signs. Words without a letter or digit have dropped out. wide: capitalised words are names wherever they stand, so a sentence's first word is one too."""
-    if wide:
-        bare = F.when(F.contains(bare, F.lit(MARK)), F.regexp_replace(bare, f"{MARK}{_NOT_SPACE}*", UNIT)).otherwise(bare)
-        return split_words(F.regexp_replace(bare, rf"(^|{SPACE_CLASS})\p{{Lu}}{_NOT_SPACE}*", f"$1{NAME}"))
-    return split_words(F.when(F.contains(bare, F.lit(MARK)), F.translate(bare, MARK, "")).otherwise(bare))
-
-
-def is_slot(word: Column) -> Column:
-    return word.isin(NUMBER, NAME, UNIT)
-
-
-def folded(text: Column) -> Column:
-    """The words without case and signs, in the same places as the template's."""
-    return split_words(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
+def word_hash(token: Column, form: str) -> Column:
+    """A hash of the word in a form: fold (as it is), words (the template's: placeholders for numbers, names and units), wide (the template in which capitalised words are names wherever they stand, so a sentence's first word is one too)."""
+    bare, mark = F.xxhash64(F.substr(token, F.lit(2))), F.xxhash64(F.substr(token, F.lit(1), F.lit(1)))
+    rest = {
+        "fold": bare,
+        "words": F.when(token < WIDE_UNIT, mark).otherwise(bare),
+        "wide": F.when(token < WIDE_UNIT, mark).when(token < WIDE_NAME, F.xxhash64(F.lit(UNIT))).otherwise(F.xxhash64(F.lit(NAME))),
+    }
+    return F.when(token >= UNMARKED, F.xxhash64(token)).otherwise(rest[form])
 
 
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """rows (with `fold`) once for each window: at (from 0). The size is tested in the generator: as a filter it would move below the template and compute that again."""
-    at = F.explode(F.when(F.size("fold") >= size, F.sequence(F.lit(0), F.size("fold") - size))).alias("at")
+    """rows (with `tokens`) once for each window: at (from 0). The size is tested in the generator: as a filter it would move below the template and compute that again."""
+    at = F.explode(F.when(F.size("tokens") >= size, F.sequence(F.lit(0), F.size("tokens") - size))).alias("at")
     return rows.select("*", at)
 
 
@@ -94,22 +91,21 @@ def window_hash(hashed: str, size: int) -> Column:
 
 
 def forms(rows: DataFrame, *kept: str) -> DataFrame:
-    """rows (text, marked) with the template words, the wide ones and the folded ones, and a hash of each word, so that a window's is one of numbers and no words are copied."""
-    made = rows.select(*kept, signless(F.col("marked")).alias("bare"), folded(F.col("text")).alias("fold"))
-    made = made.select("*", template(F.col("bare")).alias("words"), template(F.col("bare"), True).alias("wide"))
-    return made.withColumns({f"{k}_h": F.transform(k, lambda w: F.xxhash64(w)) for k in ("words", "wide", "fold")})
+    """rows (text) with its tokens, and for each form a hash of each word, so that a window's is one of numbers and no words are copied."""
+    made = rows.select(*kept, marked(F.col("text")).alias("marked")).select(*kept, tokens(F.col("marked")).alias("tokens"))
+    return made.withColumns({f"{k}_h": F.transform("tokens", lambda w: word_hash(w, k)) for k in ("words", "wide", "fold")})  # noqa: B023
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL) -> DataFrame:
     """hash, item_id, item_at, exact (the window's folded words, without slots), n_item (windows of the item), n_slot (those with a template), slots (folded words and places of the window's placeholders)."""
     text = whole_text()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    found = windows(forms(items.withColumn("marked", marked(F.col("text"))), "item_id"), size)
+    found = windows(forms(items, "item_id"), size)
     kinds = [F.struct(window_hash("fold_h", size).alias("hash"), F.lit(True).alias("exact"), F.lit(None).cast("array<struct<i:int,word:string>>").alias("slots"))]
     fits = {}
-    for words, least in (("words", literal), ("wide", min(literal, WIDE_LITERAL))):
-        places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.get(words, F.col("at") + i)))  # noqa: B023
-        slots = F.transform(places, lambda i: F.struct(i.alias("i"), F.get("fold", F.col("at") + i).alias("word")))
+    for words, least, bound in (("words", literal, WIDE_UNIT), ("wide", min(literal, WIDE_LITERAL), UNMARKED)):
+        places = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get("tokens", F.col("at") + i) < bound)  # noqa: B023
+        slots = F.transform(places, lambda i: F.struct(i.alias("i"), folded(F.get("tokens", F.col("at") + i)).alias("word")))
         fits[words] = F.size(places) <= size - least
         kinds.append(F.when(fits[words] & (F.size(places) > 0), F.struct(window_hash(f"{words}_h", size).alias("hash"), F.lit(False).alias("exact"), slots.alias("slots"))))
     found = found.withColumn("usable", fits["words"] | fits["wide"]).withColumn("kinds", F.array_distinct(F.array_compact(F.array(*kinds))))
@@ -124,11 +120,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, run: int =
     known = sides.select("hash", "item_id", "item_at", "exact", "usable", "n_item", "n_slot", "slots")
     if known.count() <= broadcast:
         known = F.broadcast(known)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumns({"th": F.xxhash64("text"), "marked": marked(F.col("text"))})
-    one, two, three = (window_hash(k, size) for k in ("words_h", "wide_h", "fold_h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
+    hashes = [window_hash(f"{k}_h", size).alias(k) for k in ("words", "wide", "fold")]  # columns: a generator would work each out again wherever it names it
+    one, two, three = (F.col(k) for k in ("words", "wide", "fold"))
     found = F.array(one, F.when(two != one, two), F.when((three != one) & (three != two), three))  # a null joins nothing
-    hit = windows(forms(rows, "doc_id", "th"), size).select("doc_id", "th", "fold", "at", F.explode(found).alias("hash")).join(known, "hash")
-    pairs = F.transform(F.coalesce("slots", F.array().cast("array<struct<i:int,word:string>>")), lambda s: F.struct(s["word"].alias("item"), F.get("fold", F.col("at") + s["i"]).alias("doc")))
+    hit = windows(forms(rows, "doc_id", "th"), size).select("doc_id", "th", "tokens", "at", *hashes).select("doc_id", "th", "tokens", "at", F.explode(found).alias("hash")).join(known, "hash")
+    pairs = F.transform(F.coalesce("slots", F.array().cast("array<struct<i:int,word:string>>")), lambda s: F.struct(s["word"].alias("item"), folded(F.get("tokens", F.col("at") + s["i"])).alias("doc")))
     hit = hit.select("doc_id", "th", "item_id", "n_item", "n_slot", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("at", "exact", "usable", pairs.alias("pairs")).alias("hit"))
     aligned = hit.groupBy("doc_id", "th", "item_id", "n_item", "n_slot", "shift").agg(F.collect_set("hit").alias("hits"))
     aligned = aligned.withColumn("every", F.flatten("hits.pairs"))
