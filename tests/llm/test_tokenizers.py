@@ -50,6 +50,24 @@ def test_bpe_reads_every_code_point_as_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == w.ids, [hex(ord(x)) for x in text]
 
 
+def test_bpe_cuts_words_together():
+    """Many new words need few calls of the library, with the pre-tokens that each has by itself."""
+    from types import SimpleNamespace
+
+    own, calls = WordBPE(str(public_tokenizers.path("word_bpe_49k.json"))), []
+    words = list(dict.fromkeys([f"{a}{k}{b}" for k in range(400) for a in ("é", "Σ'S", "\u0308x", "日本", "İ", "\u200b") for b in ("", "'LL", "½", "!!", "\x1c")]))
+    plain = list(dict.fromkeys(["'", "''s", "'s's", "don't", "WE'LL", "'rex", "a\x1cb", "\x00", "12a3", "%%'d'", *(f"A{k}'ve" for k in range(500))]))
+    for cut, given in ((own._cut_other, words), (own._cut_ascii, plain)):
+        (data, sizes, counts), (data_1, sizes_1, counts_1) = cut(given), own._cut_each(given)
+        assert data == data_1 and sizes.tolist() == sizes_1.tolist() and counts.tolist() == counts_1.tolist()
+    library = own.pre_tokenizer
+    own.pre_tokenizer = SimpleNamespace(pre_tokenize_str=lambda text: calls.append(1) or library.pre_tokenize_str(text))
+    whole = own.encode([" ".join(words + plain)])
+    assert 0 < len(calls) < len(words) / 100
+    apart = own.encode(words + plain)
+    assert whole[0][0] == b"".join(a for a, _ in apart) and whole[0][1] == " ".join(b for _, b in apart if b)
+
+
 @pytest.mark.parametrize("hot", [10**6, 50, 0])
 def test_counts_are_the_librarys(spark, hot):
     import sentencepiece
