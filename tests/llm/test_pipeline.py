@@ -8,7 +8,7 @@ pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline as cp  # noqa: E402
 
-from vigil.llm import toxicity  # noqa: E402
+from vigil.llm import exact_dedup, near_dedup, toxicity  # noqa: E402
 
 from tests.llm.test_decontaminate import plain  # noqa: E402
 from tests.llm.test_near_dedup import bag, exact, roots  # noqa: E402
@@ -44,6 +44,24 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), PATH).count() == 0
 
 
+def test_narrow_tables_take_few_files(spark, tmp_path, monkeypatch):
+    """As many files as the rows need, not as many as a shuffle has partitions: each file costs its executor processes, which hold its memory for a moment."""
+    from vigil.llm import common
+
+    docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    own = spark.newSession()
+    for k, v in {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        own.conf.set(k, v)
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    near_dedup.keep_one(own.read.parquet(f"{PATH}/documents.parquet")).count()
+    exact_dedup.drop_copies(own.read.parquet(f"{PATH}/documents.parquet")).count()
+    files = {}
+    for p in (tmp_path / "vigil").iterdir():
+        files.setdefault(p.name.rsplit("-", 1)[0], []).append(len(list(p.glob("part-*"))))
+    for tag in ("sizes", "members", "stars", "roots", "classes", "kept"):
+        assert max(files[tag]) <= -(-docs.count() * near_dedup.BANDS // common.FILE_ROWS), (tag, files[tag])
+
+
 def test_workers_return_memory():
     """What a partition freed is not held on to, even below a block that lives on."""
     from vigil.llm.common import returned

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words: space and 0x09-0x0D, as a regular-expression class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows of a narrow table that one file takes.
+FILE_ROWS = 100_000
+
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -51,10 +54,17 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vigil/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again. It cuts the lineage; the files outlive any executor."""
+def materialize(df: DataFrame, tag: str, path: str | None = None, rows: int | None = None) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again. It cuts the lineage; the files outlive any executor.
+
+    rows: about how many there are at most, for narrow tables whose last stage is light. Then there are no more files than they
+    need, however many partitions a shuffle has: for each file and folder on a disk of its own an executor starts processes
+    (chmod for the file, its checksum and its folder), and each file is a scan's overhead later.
+    """
     spark = df.sparkSession
     path = path or new_dir(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,12 +29,12 @@ def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a, b (long). Returns node, root for every node with a link to another, root being the least node that it reaches, and itself included."""
-    now = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """links: a, b (long); rows: how many there are, where it is known. Returns node, root for every node with a link to another, root being the least node that it reaches, and itself included."""
+    now = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows=rows)
     mark = _print(now)
     while mark[0]:
-        now = materialize(_small_star(_large_star(now)), "stars")
+        now = materialize(_small_star(_large_star(now)), "stars", rows=mark[0])  # a star never has more links
         new = _print(now)
         if new == mark:
             break

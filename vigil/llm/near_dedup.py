@@ -219,37 +219,39 @@ def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, threshold: flo
 
     def apart(rows: DataFrame) -> DataFrame:
         several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return materialize(several.select("bucket"), "several")
+        return materialize(several.select("bucket"), "several", rows=most)
 
     def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = materialize(_links(rows.join(nodes.select("node", "sig", "text"), "node"), threshold, registers, size), "more-links")
-        if not more.limit(1).count():
+        if not (added := more.count()):
             return links, roots
-        both = materialize(links.union(more), "all-links")
-        return both, materialize(components(both), "roots")
+        n = links.count() + added
+        both = materialize(links.union(more), "all-links", rows=n)
+        return both, materialize(components(both, n), "roots", rows=2 * n)
 
-    roots = materialize(components(links), "roots")
+    most, n = members.count(), links.count()
+    roots = materialize(components(links, n), "roots", rows=2 * n)
     for salt in (9, 10):
         rows = named(roots)
         several = apart(rows)
         if not several.limit(1).count():
             return links, roots
-        open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open")
-        sizes = materialize(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume")).select("bucket", _blocks("rows", "volume").alias("n")).where("n > 1" if salt > 9 else "n > 0"), "sizes")
+        open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open", rows=most)
+        sizes = materialize(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume")).select("bucket", _blocks("rows", "volume").alias("n")).where("n > 1" if salt > 9 else "n > 0"), "sizes", rows=most)
         if salt > 9 and not sizes.limit(1).count():
             return links, roots
         links, roots = linked(open_rows.select("bucket", "node", "comp").join(sizes, "bucket").select("bucket", _dealt(salt, F.col("n")).alias("part"), F.lit(2).alias("guest"), "node", "comp"))
         if salt == 9:
-            members = materialize(open_rows.select("bucket", "node").join(sizes.where("n > 1").select("bucket"), "bucket", "left_semi"), "wide")
+            members = materialize(open_rows.select("bucket", "node").join(sizes.where("n > 1").select("bucket"), "bucket", "left_semi"), "wide", rows=most)
     rows = named(roots)
     several = apart(rows)
     if not several.limit(1).count():
         return links, roots
-    open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open")
+    open_rows = materialize(rows.join(several, "bucket", "left_semi").join(nodes.select("node", "volume"), "node"), "open", rows=most)
     counts = open_rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
     counts = counts.groupBy("bucket").agg(F.max(F.struct("rows", "comp", "volume")).alias("most"), F.sum("rows").alias("rows"), F.sum("volume").alias("volume"))
     counts = counts.withColumns({"others": F.col("rows") - F.col("most.rows"), "other_volume": F.col("volume") - F.col("most.volume")})
-    sizes = materialize(counts.select("bucket", F.col("most.comp").alias("main"), _blocks("rows", "volume").alias("n"), _blocks("others", "other_volume").alias("t")), "sizes")
+    sizes = materialize(counts.select("bucket", F.col("most.comp").alias("main"), _blocks("rows", "volume").alias("n"), _blocks("others", "other_volume").alias("t")), "sizes", rows=most)
     both = open_rows.join(sizes, "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
     hosts = both.select("*", every("t")).select("bucket", (_dealt(11, F.col("n")) * F.col("t") + F.col("other")).alias("part"), F.lit(0).alias("guest"), "node", "comp")
@@ -261,15 +263,16 @@ def _rest(members: DataFrame, links: DataFrame, nodes: DataFrame, threshold: flo
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
     """One row for each row of docs: doc_id, place, th, uid, root (the class's number), kept (true for the smallest doc_id of the class), class_id (that doc_id) and class_size."""
     rows = materialize(profile(docs, size, bands, depth), "profile")
+    n = rows.count()
     first = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("node"))
     heads = rows.join(first, ["k1", "k2", "n"]).where("uid = node")
     spread = heads.select("node", F.explode("bands").alias("bucket"))
     # written, so that the join has plain exchanges on both sides, whose large partitions Spark can split
-    sizes = materialize(spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
-    members = materialize(spread.join(sizes, "bucket").select("bucket", "node", "head", "k"), "members")
+    sizes = materialize(spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes", rows=n * bands // 2)
+    members = materialize(spread.join(sizes, "bucket").select("bucket", "node", "head", "k"), "members", rows=n * bands)
     wanted = members.select("node").distinct()
     named = heads.select("node", "place", "th", "sig").join(wanted, "node")
-    named = materialize(named.dropDuplicates(["place", "th"]), "named")
+    named = materialize(named.dropDuplicates(["place", "th"]), "named", rows=n)
     texts = keyed(docs).dropDuplicates(["place", "th"]).join(named, ["place", "th"]).select("node", "sig", "text", F.octet_length("text").cast("long").alias("volume"))
     texts = materialize(texts, "texts")
 
@@ -280,14 +283,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
         _, roots = _rest(members.where("k > 2").select("bucket", "node"), links, texts, threshold, bands * depth, size)
     placed = rows.select("doc_id", "place", "th", "uid", "n", "k1", "k2").join(first, ["k1", "k2", "n"], "left").join(roots, "node", "left")
     placed = placed.select("doc_id", "place", "th", "uid", F.coalesce("root", "node", "uid").alias("root"))
-    best = materialize(placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size")), "classes")
+    best = materialize(placed.groupBy("root").agg(F.min(F.struct("place", "uid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size")), "classes", rows=n)
     return placed.join(best, "root").select("doc_id", "place", "th", "uid", "root", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("best.doc_id").alias("class_id"), "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns of docs."""
     place, th = free_name(docs, "place"), free_name(docs, "th")
-    kept = materialize(classes(docs).where("kept").select(F.col("place").alias(place), F.col("th").alias(th)), "kept")
+    kept = materialize(classes(docs).where("kept").select(F.col("place").alias(place), F.col("th").alias(th)), "kept", rows=docs.count())
     found = docs.withColumns({place: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), th: F.xxhash64(whole_text())}).join(kept, [place, th], "left_semi")
     if kept.count() < found.count():  # rows alike in doc_id and text
         found = found.dropDuplicates([place, th])
